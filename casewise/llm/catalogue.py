@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, host_rules, sql
+from . import bpe, host_rules, packing, sql
 
 QUERIES = {
     "op4_host_rules": host_rules.op4_host_rules,
+    "op9_vector_packing": packing.op9_vector_packing,
     "op10_bpe_transducer": bpe.op10_bpe_transducer,
 }
 
