@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, host_rules, packing, sql
+from . import bpe, host_rules, packing, sql, toxicity
 
 QUERIES = {
+    "op3_string_kernel_toxicity": toxicity.op3_string_kernel_toxicity,
     "op4_host_rules": host_rules.op4_host_rules,
     "op9_vector_packing": packing.op9_vector_packing,
     "op10_bpe_transducer": bpe.op10_bpe_transducer,
