@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, host_rules, ngram_join, packing, sql, toxicity
+from . import bpe, host_rules, ngram_join, packing, pii, sql, toxicity
 
 QUERIES = {
     "op3_string_kernel_toxicity": toxicity.op3_string_kernel_toxicity,
     "op4_host_rules": host_rules.op4_host_rules,
     "op6_signature_tree_join": ngram_join.op6_signature_tree_join,
+    "op8_weak_supervision_pii": pii.op8_weak_supervision_pii,
     "op9_vector_packing": packing.op9_vector_packing,
     "op10_bpe_transducer": bpe.op10_bpe_transducer,
 }
