@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, host_rules, ngram_join, packing, pii, sharding, sql, toxicity, url_filter
+from . import bpe, chat, host_rules, inner_product, ngram_join, packing, pii, sharding, sql, toxicity, url_filter
 
 QUERIES = {
     "op1_redirect_equivalence": url_filter.op1_redirect_equivalence,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_string_kernel_toxicity": toxicity.op3_string_kernel_toxicity,
     "op4_host_rules": host_rules.op4_host_rules,
+    "op5_anisotropic_search": inner_product.op5_anisotropic_search,
     "op6_signature_tree_join": ngram_join.op6_signature_tree_join,
     "op7_permutation_sharding": sharding.op7_permutation_sharding,
     "op8_weak_supervision_pii": pii.op8_weak_supervision_pii,
