@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import signal
+from ..ml import metrics, models
 from ..operators import analyses, cases, cohort, periods, report, trend
 from ..sources.order_tables import Reports, order_reports
 from . import oracle as O
@@ -337,6 +338,78 @@ CATALOGUE: dict[str, tuple[Callable, str | None]] = {
 }
 
 
+def _scored(r: Relations) -> DataFrame:
+    """Cases with a label and a fixed score formula, to compare metrics exactly."""
+    score = F.least(F.lit(1.0), F.round((F.col("age_years") - 60) / 50.0 + F.col("distinct_drug_n") / 50.0, 2))
+    return r.dataset.select(F.col("is_fall_narrow").cast("int").alias("label"), score.alias("score"))
+
+
+_SCORED = O.CASES + (
+    ", scored as (select cast(is_fall_narrow as int) as label, least(1.0, round((age_years - 60) / 50.0 + distinct_drug_n / 50.0, 2)) as score from case_dataset)"
+    ", by_score as (select score, count(*) filter (label = 1) as p, count(*) filter (label = 0) as n from scored group by score)"
+    ", pts as (select score as threshold, cast(sum(p) over w as bigint) as tp, cast(sum(n) over w as bigint) as fp, p from by_score window w as (order by score desc))"
+    ", roc as (select threshold, tp, fp, tp * 1.0 / (select sum(p) from by_score) as tpr, fp * 1.0 / (select sum(n) from by_score) as fpr from pts)"
+)
+_FRAME = O.CASES + (
+    ", frame as (select c.caseid, cast(is_fall_narrow as int) as label, age_group, sex_clean, quarter, cast(year as double) as year, cast(d.drug_n as double) as drug_n, "
+    "cast(d.distinct_drug_n as double) as distinct_drug_n, " + ", ".join(f"cast(d.{c} as double) as {c}" for c in models.FLAGS) + " from case_dataset c join drug_cases d using (caseid))"
+)
+
+
+def _frame(r: Relations) -> DataFrame:
+    return models.modelling_frame(r.signals, cases.drug_feature(r.drugs))
+
+
+def _forecast(r: Relations) -> DataFrame:
+    """Logistic model of the earlier years on the last year; rows-only, models have no SQL."""
+    frame = _frame(r)
+    train = models.balanced_weights(frame.where("year <= 1999"))
+    return models.scores(models.fit(train, models.logistic(train, 100)), frame.where("year > 1999"))
+
+
+CATALOGUE |= {
+    "modelling_frame": (_on_cases(_frame), _FRAME + " select * from frame"),
+    "temporal_split_summary": (
+        _on_cases(lambda r: models.split_summary(models.temporal_split(_frame(r), 1999, 2000, 2001))),
+        _FRAME + " select case when year <= 1999 then 'train' when year = 2000 then 'valid' else 'test' end as part, count(*) as n_rows, cast(sum(label) as bigint) as n_positive from frame group by 1",
+    ),
+    "confusion_metrics": (
+        _on_cases(lambda r: metrics.confusion(_scored(r))),
+        _SCORED + ", c as (select count(*) filter (score >= 0.5 and label = 1) as tp, count(*) filter (score >= 0.5 and label = 0) as fp, "
+        "count(*) filter (score < 0.5 and label = 1) as fn, count(*) filter (score < 0.5 and label = 0) as tn from scored) select tp, fp, fn, tn, "
+        "round((tp + tn) * 1.0 / (tp + fp + fn + tn), 6) as accuracy, round(coalesce(tp * 1.0 / nullif(tp + fp, 0), 0), 6) as precision, "
+        "round(coalesce(tp * 1.0 / nullif(tp + fn, 0), 0), 6) as recall, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1, "
+        "round(coalesce(tn * 1.0 / nullif(tn + fp, 0), 0), 6) as specificity from c",
+    ),
+    "roc_points": (
+        _on_cases(lambda r: metrics.roc_points(_scored(r))),
+        _SCORED + " select threshold, tp, fp, round(tpr, 6) as tpr, round(fpr, 6) as fpr from roc",
+    ),
+    "youden_threshold": (
+        _on_cases(lambda r: metrics.youden_threshold(_scored(r))),
+        _SCORED + " select threshold, round(tpr - fpr, 6) as youden_j from roc order by tpr - fpr desc, threshold desc limit 1",
+    ),
+    "roc_auc": (
+        _on_cases(lambda r: metrics.auc(_scored(r))),
+        _SCORED + " select round(sum((a.p * b.n) * case when a.score > b.score then 1.0 when a.score = b.score then 0.5 else 0 end) / "
+        "((select sum(p) from by_score) * (select sum(n) from by_score)), 6) as roc_auc from by_score a, by_score b",
+    ),
+    "average_precision": (
+        _on_cases(lambda r: metrics.average_precision(_scored(r))),
+        _SCORED + " select round(sum(p * tp * 1.0 / (tp + fp)) / (select sum(p) from by_score), 6) as average_precision from pts",
+    ),
+    "brier": (_on_cases(lambda r: metrics.brier(_scored(r))), _SCORED + " select round(avg((score - label) ** 2), 6) as brier from scored"),
+    "calibration_bins": (
+        _on_cases(lambda r: metrics.calibration_bins(_scored(r))),
+        _SCORED + ", e as (select distinct unnest(quantile_cont(score, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) as e from scored), "
+        "b as (select row_number() over (order by e) - 2 as bin, lag(e) over (order by e) as lo, e as hi from e) "
+        "select cast(bin as int) as bin, count(*) as n, round(avg(score), 6) as mean_score, round(avg(label), 6) as event_rate from scored join b "
+        "on (score > lo and score <= hi) or (bin = 0 and score <= hi) where bin >= 0 group by bin",
+    ),
+    "logistic_forecast": (_on_cases(_forecast), None),
+}
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Full disproportionality table of the study, overall and by stratum."""
     return CATALOGUE["signal_stratified"][0](spark, folder)
