@@ -64,7 +64,7 @@ def confusion(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def youden_threshold(scored: DataFrame) -> DataFrame:
     """(threshold, youden_j): the first, that is highest, score at which tpr - fpr is largest."""
-    points = roc_points(scored).withColumn("youden_j", F.col("tpr") - F.col("fpr"))
+    points = roc_points(scored).withColumn("youden_j", F.round(F.col("tpr") - F.col("fpr"), 12))
     return points.orderBy(F.desc("youden_j"), F.desc("threshold")).limit(1).select("threshold", "youden_j")
 
 

@@ -387,7 +387,7 @@ CATALOGUE |= {
     ),
     "youden_threshold": (
         _on_cases(lambda r: metrics.youden_threshold(_scored(r))),
-        _SCORED + " select threshold, round(tpr - fpr, 6) as youden_j from roc order by tpr - fpr desc, threshold desc limit 1",
+        _SCORED + " select threshold, round(tpr - fpr, 6) as youden_j from roc order by round(tpr - fpr, 12) desc, threshold desc limit 1",
     ),
     "roc_auc": (
         _on_cases(lambda r: metrics.auc(_scored(r))),
