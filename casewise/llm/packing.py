@@ -14,8 +14,8 @@ Sequence ids are unique by partition and the same again when a task is repeated.
 from __future__ import annotations
 
 import zlib
+from array import array
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ class Limits:
 class HubTokenizer:
     """Little-endian 32-bit ids of texts by a ``tokenizers`` file, memoised by unit (bounded)."""
 
-    def __init__(self, path: str, end_id: int, limit: int = 500_000):
+    def __init__(self, path: str, end_id: int, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -52,17 +52,29 @@ class HubTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known, split = self.known, list(map(split_units, texts))
-        new = list(set(chain.from_iterable(split)).difference(known))
-        extra = known.rare = {}
+        values = [list(map(known.get, units)) for units in split]
+        holes = [i for i, row in enumerate(values) if None in row]
+        if holes:
+            known.rare = {}
+            self.learn({u for i in holes for u, v in zip(split[i], values[i]) if v is None})
+            for i in holes:
+                values[i] = map(known.__getitem__, split[i])
+        return [b"".join(row) + self.end for row in values]
+
+    def learn(self, units: set[str]) -> None:
+        """Ids of new units: kept while there is room, else held for the batch at hand."""
+        new = list(units)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            for unit, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                value = np.array(coded.ids, dtype="<u4").tobytes()
-                if len(known) < self.limit and len(unit) <= 48:
-                    known[unit] = value
-                else:
-                    extra[unit] = value
-        return [b"".join(map(known.__getitem__, units)) + self.end for units in split]
+            coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            found = zip(part, [array("I", c.ids).tobytes() for c in coded])
+            if len(self.known) + len(part) > self.limit:
+                self.known.rare.update(found)
+            elif max(map(len, part)) <= 48:
+                self.known.update(found)
+            else:
+                for unit, value in found:
+                    (self.known if len(unit) <= 48 else self.known.rare)[unit] = value
 
 
 class _Known(dict):
