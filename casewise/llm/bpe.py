@@ -51,7 +51,7 @@ def merge_by_rank(ranks: dict[bytes, int], piece: bytes) -> list[int]:
 class Transducer:
     """``encode`` gives the ids of one piece. See the module text for states and arcs."""
 
-    def __init__(self, ranks: dict[bytes, int], most_arcs: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], most_arcs: int = 350_000):
         self.ranks, self.most_arcs = ranks, most_arcs
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
@@ -262,17 +262,19 @@ class Codec:
         self.transducer = Transducer(ranks)
         self.token_bytes = self.transducer.bytes_of
         self.pieces = piece_splitter(pattern)
-        self.units = UnitMemo(self.encode_unit, limit=250_000)
-        self.known_pieces = UnitMemo(lambda piece: tuple(self.transducer.encode(piece.encode())), limit=350_000)
+        self.units = UnitMemo(self.code_unit, limit=350_000)
+        self.known_pieces = UnitMemo(lambda piece: tuple(self.transducer.encode(piece.encode())), limit=450_000)
         self.utf8 = Utf8Stream()
 
-    def encode_unit(self, unit: str) -> tuple[int, ...]:
-        pieces = self.pieces(unit)
-        if len(pieces) == 1:
-            return self.known_pieces[unit]
-        return sum(map(self.known_pieces.__getitem__, pieces), ())
+    def code_unit(self, unit: str) -> tuple[tuple[int, ...], str]:
+        """Ids of a unit, and the same in decimal."""
+        if len(unit) > 1 and unit[-1] in ",.!" and unit[:-1].lstrip(" ").isalpha():
+            ids = self.known_pieces[unit[:-1]] + self.known_pieces[unit[-1]]  # a word and one mark: two pieces
+        else:
+            ids = sum(map(self.known_pieces.__getitem__, self.pieces(unit)), ())
+        return ids, ",".join(map(str, ids))
 
-    def encode(self, text: str) -> list[tuple[int, ...]]:
+    def encode(self, text: str) -> list[tuple[tuple[int, ...], str]]:
         return list(map(self.units.__getitem__, split_units(text)))
 
     def decode(self, ids: Iterable[int], at_once: int = 1 << 16) -> Iterator[str]:
@@ -300,18 +302,18 @@ def code_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str = "d
 
     def run(batches):
         own = codec(ranks_path, pattern)
-        decimal = UnitMemo(lambda chunk: ",".join(map(str, chunk)))
         for batch in batches:
             rows: dict[str, list] = {name.split()[0]: [] for name in schema.split(", ")}
             for doc_id, text_value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                chunks = own.encode(text_value.as_py() or "")
+                coded = own.encode(text_value.as_py() or "")
+                ids = list(chain.from_iterable([unit[0] for unit in coded]))
                 rows["doc_id"].append(doc_id)
-                rows["n_tokens"].append(sum(map(len, chunks)))
-                rows["ids_sha256"].append(hashlib.sha256(",".join(map(decimal.__getitem__, chunks)).encode()).hexdigest())
-                decoded = "".join(own.decode(chain.from_iterable(chunks)))
+                rows["n_tokens"].append(len(ids))
+                rows["ids_sha256"].append(hashlib.sha256(",".join([unit[1] for unit in coded]).encode()).hexdigest())
+                decoded = "".join(own.decode(ids))
                 rows["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
                 if with_ids:
-                    rows["ids"].append([i for chunk in chunks for i in chunk])
+                    rows["ids"].append(ids)
                     rows["decoded"].append(decoded)
             types = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, types.get(k, pa.string())) for k, v in rows.items()})
