@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +52,12 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver notice shuffles that nothing refers to any more, so executors delete their files now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """``body(v)`` with ``value`` computed once per row, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]
