@@ -31,7 +31,7 @@ KINDS = ("email", "ip", "card", "phone")
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",  # shorter runs of digits fail the check in any case
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: A character without which a text holds no match.
@@ -129,7 +129,7 @@ def _checked(kind: str, value: Column) -> Column:
 
 def base_matches(text: Column, kind: str) -> Column:
     """All matches of a base pattern, before its check."""
-    present = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike("[0-9][ -]?[0-9]")
+    present = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike("[0-9](?:[ -]?[0-9]){12}")
     return _where(present, located(text, BASE[kind]))
 
 
