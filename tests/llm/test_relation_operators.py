@@ -208,3 +208,14 @@ def test_pipeline_stages(spark, odd, nothing, tmp_path):
             assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
     kept = sorted(r.doc_id for r in stages["ngram_jaccard_join"](spark, odd, str(tmp_path)).where("doc_id is not null").collect())
     assert kept == [1, 2, 3, 4, 6, 8, 9, 10]
+
+
+def test_quality_stage_rejects_a_document_for_its_own_symbols_or_lines(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(words), " ".join(words[:60]), " ".join(f"{w} ##" for w in words), "\n".join([" ".join(words), *["again"] * 17])]
+    docs = spark.createDataFrame([(i, t, f"h{i // 8}") for i, t in enumerate(texts * 4)], "doc_id long, text string, source string")
+    judged = pipeline.host_rules.judge_documents(docs).collect()
+    assert all((r.base_failed, r.rule_failed, r.host_failed) == (False, r.doc_id % 4 > 1, False) for r in judged)
+    kept = sorted(r.doc_id for r in pipeline.quality_stage(spark, docs, "").collect())
+    assert kept == [0, 1, 4, 5, 8, 9, 12, 13]
