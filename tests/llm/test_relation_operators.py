@@ -219,3 +219,12 @@ def test_quality_stage_rejects_a_document_for_its_own_symbols_or_lines(spark):
     assert all((r.base_failed, r.rule_failed, r.host_failed) == (False, r.doc_id % 4 > 1, False) for r in judged)
     kept = sorted(r.doc_id for r in pipeline.quality_stage(spark, docs, "").collect())
     assert kept == [0, 1, 4, 5, 8, 9, 12, 13]
+
+
+def test_near_duplicate_stage_keeps_different_texts_of_one_id(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (1, b), (1, a), (2, a + " more"), (3, b + " more"), (5, a), (5, c), (7, d), (6, d), (None, a), (1, ""), (1, None)]
+    docs = spark.createDataFrame([(*r, k % 3) for k, r in enumerate(rows)], "doc_id long, text string, n_chars long").repartition(3)
+    kept = Counter((r.doc_id, r.text) for r in pipeline.near_duplicate_stage(spark, docs, "").collect())
+    assert kept == Counter([(1, a), (1, b), (5, c), (6, d), (None, a), (1, ""), (1, None)])
