@@ -7,7 +7,8 @@ tokens, each as a share of its limit). Items may be cut: what no whole item fill
 of one. A sequence that cannot be filled is cut back to a power of two, which needs no padding.
 
 Defined results: a null or empty text is its end token alone; repeated rows are packed one by one;
-a text longer than a sequence becomes full sequences and a rest; an empty table gives an empty result.
+a text longer than a sequence becomes full sequences and a rest; without a column that says where loss
+begins, all tokens bear loss; an empty table gives an empty result.
 Sequence ids are unique by partition and the same again when a task is repeated.
 """
 
@@ -208,9 +209,13 @@ class Packer:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = Limits(), key: str = "doc_id", text: str = "text"
+    docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = Limits(), key: str = "doc_id", text: str = "text",
+    loss_from: str | None = None,
 ) -> DataFrame:
-    """One row per piece: where it lies in its document and in its sequence, with a checksum of its ids."""
+    """One row per piece: where it lies in its document and in its sequence, with a checksum of its ids.
+
+    ``loss_from`` names a column with the number of tokens at a row's start that bear no loss (null: none).
+    """
 
     def run(batches):
         own = tokenizer(tokenizer_path, end_id)
@@ -238,15 +243,16 @@ def pack_documents(
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc_id, ids in zip(part.column(0).to_pylist(), own.encode(texts)):
+                for doc_id, ids, first in zip(part.column(0).to_pylist(), own.encode(texts), part.column(2).to_pylist()):
                     ids_of[serial] = [doc_id, ids, len(ids) // 4]
-                    packer.add(serial, len(ids) // 4, 0)
+                    packer.add(serial, len(ids) // 4, first)
                     serial += 1
                 yield from rows()
         packer.pack(0)
         yield from rows()
 
-    return docs.selectExpr(f"cast(`{key}` as long) as k", f"cast(`{text}` as string) as t").mapInArrow(run, SCHEMA)
+    first = f"coalesce(cast(`{loss_from}` as long), 0L)" if loss_from else "0L"
+    return docs.selectExpr(f"cast(`{key}` as long) as k", f"cast(`{text}` as string) as t", f"{first} as f").mapInArrow(run, SCHEMA)
 
 
 def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,3 +202,23 @@ def test_packed_ids(spark, odd, nothing):
     want = Counter(len(library.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in odd.collect())
     assert sum(r.length for r in rows) == sum(k * v for k, v in want.items())
     assert packing.pack_documents(nothing, path).count() == 0
+
+
+def test_loss_bearing_tokens_of_rows_limit_sequences(spark):
+    path = public.path("byte_bpe_50k.json")
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(["red", "blue", "seven", "x"]) for _ in range(rng.randint(1, 90))), rng.choice([None, 0, 5, 30, 500])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quiet int")
+    limits = packing.Limits(64, 8, 20, 16)
+    got = packing.pack_documents(docs, path, limits=limits, loss_from="quiet").collect()
+    quiet = {i: q or 0 for i, _, q in rows}
+    sequences = defaultdict(list)
+    for r in got:
+        assert r.loss_tokens == max(0, r.start + r.length - max(r.start, quiet[r.doc_id]))
+        sequences[r.sequence_id].append(r)
+    assert all(sum(r.loss_tokens for r in s) <= 20 for s in sequences.values())
+    assert any(sum(r.length for r in s) == 64 and sum(r.loss_tokens for r in s) == 20 for s in sequences.values())
+    total = {r.doc_id: r.doc_tokens for r in got}
+    assert sum(r.length for r in got) == sum(total.values()) and len(total) == 120
+    plain = packing.pack_documents(docs, path).collect()
+    assert all(r.loss_tokens == r.length for r in plain)
