@@ -13,6 +13,9 @@ from .operators import cases
 from .plans.study import Z_DRUGS_AND_FALLS
 from .sources import quarter_files, sinks
 
+#: Training rows of each kind of model unless --train-sample-n is given.
+TRAIN_SAMPLE_N = {"logistic": 400_000, "forest": 200_000, "boosted": 300_000}
+
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="casewise")
@@ -35,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
     command(
         "model", output, ("--kind", {"default": "logistic", "choices": ["logistic", "forest", "boosted"]}), ("--period-token", {"default": None}),
         ("--target-col", {"default": "is_fall_narrow"}), ("--train-end-year", {"type": int, "default": 2023}), ("--valid-year", {"type": int, "default": 2024}),
-        ("--test-year", {"type": int, "default": 2025}), ("--train-sample-n", {"type": int, "default": 200_000}), ("--cv-folds", {"type": int, "default": 5}),
+        ("--test-year", {"type": int, "default": 2025}), ("--train-sample-n", {"type": int, "default": None}), ("--cv-folds", {"type": int, "default": 5}),
         ("--bootstrap-iterations", {"type": int, "default": 1000}), ("--random-state", {"type": int, "default": 42}),
     )
     return out
@@ -68,6 +71,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         sinks.write_json({"files": files}, Path(a.output) / "structure.json")
         sinks.write_csv(quarter_files.structure_summary(spark, files).orderBy("dataset_family", "year"), Path(a.output) / "structure.csv")
     else:
+        if a.train_sample_n is None:
+            a.train_sample_n = TRAIN_SAMPLE_N[a.kind]
         run_model(spark, a)
 
 

@@ -95,3 +95,12 @@ def test_quarters_arrive_by_stream(spark, tmp_path):
     for _ in range(2):
         follow_quarters(spark, str(tmp_path / "in"), rows.schema, str(tmp_path / "out"), "d", str(tmp_path / "state")).awaitTermination()
     assert sinks.read_dataset(spark, str(tmp_path / "out"), "d").count() == 4
+
+
+def test_training_sample_follows_the_kind_of_model(monkeypatch):
+    seen = []
+    monkeypatch.setattr(cli, "run_model", lambda spark, a: seen.append(a.train_sample_n))
+    for kind in ("logistic", "forest", "boosted"):
+        cli.main(["model", "--kind", kind], object())
+    cli.main(["model", "--kind", "boosted", "--train-sample-n", "7"], object())
+    assert seen == [400_000, 200_000, 300_000, 7]
