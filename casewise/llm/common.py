@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,47 @@ from pyspark.sql import functions as F
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
+#: What one Arrow batch to a Python worker may hold; texts and sets differ in length by a factor of thousands.
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds on Arrow batches to ours; their buffers lie outside an executor's heap and grow with the largest."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def in_parts(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about ``most`` bytes, for the way back to the JVM."""
+    rows = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+_HELD: dict = {}
+
+
+def worker_memo(key, make):
+    """What a Python worker keeps between tasks under ``key``: one thing at a time, so stages do not pile up in reused workers."""
+    if key not in _HELD:
+        _HELD.clear()
+        give_back()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def give_back() -> None:
+    """Return a worker's freed memory to the system (where the C library can)."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
