@@ -7,15 +7,16 @@ tokens, each as a share of its limit). Items may be cut: what no whole item fill
 of one. A sequence that cannot be filled is cut back to a power of two, which needs no padding.
 
 Defined results: a null or empty text is its end token alone; repeated rows are packed one by one;
-a text longer than a sequence becomes full sequences and a rest; without a column that says where loss
-begins, all tokens bear loss; an empty table gives an empty result.
+a text longer than a sequence becomes full sequences and a rest; strings of added tokens inside a text
+are those tokens, as the library reads them; rows without an id are packed too; an empty table gives an empty result.
 Sequence ids are unique by partition and the same again when a task is repeated.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
-from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
-from .units import split_units
+from .common import bound_batches, in_parts, table, worker_memo
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
@@ -39,64 +39,70 @@ class Limits:
     window: int = 512  # items that wait at once in a task
 
 
-class HubTokenizer:
-    """Little-endian 32-bit ids of texts by a ``tokenizers`` file, memoised by unit (bounded)."""
-
-    def __init__(self, path: str, end_id: int, limit: int = 700_000):
-        from tokenizers import Tokenizer
+#: For plain documents: the first tokens of each, at most a quarter of it, have little before them and
+#: bear no loss, and a sequence holds a few such tokens at least.
+QUIET_HEAD = 64
+DOCUMENTS = Limits(segments=8, loss_tokens=2032)
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings inside a text are ordinary text
-        self.end = np.array([end_id], dtype="<u4").tobytes()
-        self.known = _Known()
-        self.limit = limit
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known, split = self.known, list(map(split_units, texts))
-        values = [list(map(known.get, units)) for units in split]
-        holes = [i for i, row in enumerate(values) if None in row]
-        if holes:
-            known.rare = {}
-            self.learn({u for i in holes for u, v in zip(split[i], values[i]) if v is None})
-            for i in holes:
-                values[i] = map(known.__getitem__, split[i])
-        return [b"".join(row) + self.end for row in values]
-
-    def learn(self, units: set[str]) -> None:
-        """Ids of new units: kept while there is room, else held for the batch at hand."""
-        new = list(units)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            found = zip(part, [array("I", c.ids).tobytes() for c in coded])
-            if len(self.known) + len(part) > self.limit:
-                self.known.rare.update(found)
-            elif max(map(len, part)) <= 48:
-                self.known.update(found)
-            else:
-                for unit, value in found:
-                    (self.known if len(unit) <= 48 else self.known.rare)[unit] = value
 
+#: The pattern by which byte-level tokenizer files cut texts into pieces (fixed value).
+PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-class _Known(dict):
-    """Kept units, and beside them the ``rare`` ones of the batch at hand."""
 
-    rare: dict = {}
+class HubTokenizer:
+    """Little-endian 32-bit ids of texts by a ``tokenizers`` file, added tokens in texts included, as the library gives them.
 
-    def __missing__(self, unit):
-        return self.rare[unit]
+    A plain byte-level file whose merges are in the order of their ids is a table of ranks; ids then come
+    from a rank coder, which gives the same ids several times faster. Other files, and texts that the
+    coder refuses (white space by the million), go to the library.
+    """
 
+    def __init__(self, path: str, end_id: int):
+        from tokenizers import Tokenizer
 
-_TOKENIZERS: dict[tuple[str, int], HubTokenizer] = {}
+        self.library = Tokenizer.from_file(path)
+        self.end = np.array([end_id], dtype="<u4").tobytes()
+        self.added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.ranks = rank_coder(path, self.added)
+
+    def encode(self, text: str) -> bytes:
+        if self.ranks:
+            try:
+                return np.frombuffer(self.ranks.encode_to_numpy(text, allowed_special="all"), "<u4").tobytes() + self.end
+            except ValueError:
+                pass
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
+
+
+def rank_coder(path: str, added: dict[str, int]):
+    """The file as ranks for ``tiktoken``; None unless both mean the same."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    model, before = parts["model"], parts["pre_tokenizer"] or {}
+    plain = (
+        model["type"] == "BPE" and parts["normalizer"] is None and before.get("type") == "ByteLevel"
+        and before.get("use_regex", True) and not before.get("add_prefix_space")
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        and not any(t[k] for t in parts["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    )
+    if not plain:
+        return None
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # bytes that stand for themselves
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in model["vocab"].items() if t not in added}
+    single = sum(len(t) == 1 for t in ranks)
+    merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    if single != 256 or len(ranks) != 256 + len(merges) or any(model["vocab"].get(m) != 256 + i for i, m in enumerate(merges)):
+        return None
+    return tiktoken.Encoding(path, pat_str=PIECES, mergeable_ranks=ranks, special_tokens=added)
 
 
 def tokenizer(path: str, end_id: int) -> HubTokenizer:
-    if (path, end_id) not in _TOKENIZERS:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _TOKENIZERS[path, end_id] = HubTokenizer(path, end_id)
-    return _TOKENIZERS[path, end_id]
+    """One tokenizer a Python worker, kept between tasks."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return worker_memo(("tokenizer", path, end_id), lambda: HubTokenizer(path, end_id))
 
 
 class Packer:
@@ -163,12 +169,10 @@ class Packer:
         where = np.flatnonzero(alive & (demand[:, 0] > 1))
         if not len(where):
             return []
-        best, best_take = -1, 0
-        for i in where[np.argsort(-demand[where, 0], kind="stable")][:8]:
-            key, total, start, end, loss_from = self.items[i]
-            take = min(room, end - start - 1, max(start, loss_from) - start + loss_room)
-            if take > best_take:
-                best, best_take = int(i), take
+        size, quiet = demand[where, 0], demand[where, 0] - demand[where, 2]  # what bears no loss comes first
+        takes = np.minimum(np.minimum(room, size - 1), quiet + loss_room)
+        best = int(np.lexsort((-size, -takes))[0])
+        best, best_take = int(where[best]), int(takes[best])
         if best_take <= 0:
             return []
         key, total, start, end, loss_from = self.items[best]
@@ -210,11 +214,12 @@ class Packer:
 
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits: Limits = Limits(), key: str = "doc_id", text: str = "text",
-    loss_from: str | None = None,
+    loss_from: str | None = None, quiet_head: int = 0,
 ) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence, with a checksum of its ids.
 
-    ``loss_from`` names a column with the number of tokens at a row's start that bear no loss (null: none).
+    ``loss_from`` names a column with the number of tokens at a row's start that bear no loss (null: none);
+    without it these are the first ``quiet_head``, at most a quarter of the row's.
     """
 
     def run(batches):
@@ -235,27 +240,29 @@ def pack_documents(
             out.clear()
             names = [c.split()[0] for c in SCHEMA.split(", ")]
             if done:
-                yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(names, columns)})
+                yield from in_parts(pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(names, columns)}))
 
         packer = Packer(limits, emit, TaskContext.get().partitionId() << 40)
         serial = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc_id, ids, first in zip(part.column(0).to_pylist(), own.encode(texts), part.column(2).to_pylist()):
-                    ids_of[serial] = [doc_id, ids, len(ids) // 4]
-                    packer.add(serial, len(ids) // 4, first)
+                for doc_id, text_value, first in zip(*(part.column(i).to_pylist() for i in range(3))):
+                    ids = own.encode(text_value or "")
+                    size = len(ids) // 4
+                    ids_of[serial] = [doc_id, ids, size]
+                    packer.add(serial, size, min(quiet_head, size // 4) if first is None else first)
                     serial += 1
                 yield from rows()
         packer.pack(0)
         yield from rows()
 
-    first = f"coalesce(cast(`{loss_from}` as long), 0L)" if loss_from else "0L"
+    bound_batches(docs.sparkSession)
+    first = f"coalesce(cast(`{loss_from}` as long), 0L)" if loss_from else "cast(null as long)"
     return docs.selectExpr(f"cast(`{key}` as long) as k", f"cast(`{text}` as string) as t", f"{first} as f").mapInArrow(run, SCHEMA)
 
 
 def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
-    return pack_documents(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"))
+    return pack_documents(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), limits=DOCUMENTS, quiet_head=QUIET_HEAD)

@@ -2,8 +2,10 @@
 
 import hashlib
 import itertools
+import json
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -197,13 +199,42 @@ def test_packing_limits(limits):
 def test_packed_ids(spark, odd, nothing):
     path = public.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    rows = packing.pack_documents(odd, path).collect()
-    want = Counter(len(library.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in odd.collect())
-    assert sum(r.length for r in rows) == sum(k * v for k, v in want.items())
+    rng = random.Random(12)
+    marks = ["a", "é", " the", "'s", "\n", "\t ", "\x85", "　", "²1", "漢", "😀", "<|endoftext|>", "<|endof", " ", "\r\n\n"]
+    texts = [r.text for r in odd.collect()] + ["".join(rng.choice(marks) for _ in range(rng.randint(0, 60))) for _ in range(200)] + [" " * 2_000_000 + "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    ids = {i: library.encode(t or "", add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+    at = Counter()
+    for r in packing.pack_documents(docs, path, limits=packing.DOCUMENTS, quiet_head=packing.QUIET_HEAD).orderBy("doc_id", "start").collect():
+        piece = np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4")
+        assert (r.start, r.doc_tokens, r.ids_crc32) == (at[r.doc_id], len(ids[r.doc_id]), zlib.crc32(piece.tobytes()))
+        at[r.doc_id] += r.length
+    assert at == {i: len(x) for i, x in ids.items()}
+    whole = packing.pack_documents(odd, path).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert sum(r.n for r in whole) == sum(len(ids[i]) for i in range(odd.count())) and None in {r.doc_id for r in whole}
     assert packing.pack_documents(nothing, path).count() == 0
 
 
+def test_files_that_ranks_do_not_cover_go_to_the_library(tmp_path):
+    path = public.path("byte_bpe_50k.json")
+    own = json.loads(open(path, encoding="utf-8").read())
+    own["model"]["merges"][:2] = own["model"]["merges"][1::-1]
+    (tmp_path / "other.json").write_text(json.dumps(own), encoding="utf-8")
+    other = packing.HubTokenizer(str(tmp_path / "other.json"), 1)
+    assert packing.HubTokenizer(path, 1).ranks and other.ranks is None
+    assert np.frombuffer(other.encode("the end"), "<u4").tolist() == other.library.encode("the end", add_special_tokens=False).ids + [1]
+    assert packing.HubTokenizer(public.path("word_bpe_49k.json"), 1).ranks is None
+
+
+def test_every_limit_binds_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.pack_documents(docs, public.path("byte_bpe_50k.json"), limits=packing.DOCUMENTS, quiet_head=packing.QUIET_HEAD)
+    sums = rows.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("k"), F.sum("loss_tokens").alias("loss")).toPandas()
+    limits = packing.DOCUMENTS
+    assert (sums["n"].max(), sums["k"].max(), sums["loss"].max()) == (limits.tokens, limits.segments, limits.loss_tokens)
+    assert all(n == limits.tokens or n & (n - 1) == 0 for n in sums["n"]) and sums.loc[sums["n"] == limits.tokens, "n"].sum() > 0.95 * sums["n"].sum()
+
+
 def test_loss_bearing_tokens_of_rows_limit_sequences(spark):
     path = public.path("byte_bpe_50k.json")
     rng = random.Random(11)
