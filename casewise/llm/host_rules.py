@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_RUN, let, materialize, table
 
+BROADCAST_HOSTS = 500_000  # verdicts that are broadcast, at most
+HOT_DOCUMENTS = 10_000  # documents from which a host counts as large, where there are more hosts than that
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -123,20 +125,31 @@ def beta_prior(k: int, n: float, f: float, nn: float, ffn: float) -> tuple[float
 
 
 def judge_documents(docs: DataFrame, text: str = "text", host: str = "source", rules: HostRules = HostRules()) -> DataFrame:
-    """``docs`` with measures, host rate and ``kept``; the scan is measured twice rather than shuffling whole texts."""
-    measured = measure_documents(docs, text, rules)
-    return _join_verdicts(measured, host_verdicts(measured, host, rules), host)
+    """``docs`` with measures, host rate and ``kept``. Every text is measured once; the measured rows are written and read again."""
+    measured = materialize(measure_documents(docs, text, rules), "host-measured")
+    return join_verdicts(measured, host_verdicts(measured, host, rules), host)
 
 
-def _join_verdicts(measured: DataFrame, verdicts: DataFrame, host: str) -> DataFrame:
-    joined = measured.join(
-        verdicts.select("__host", "host_rate", "host_failed"), F.col(host) == F.col("__host"), "left"
-    ).drop("__host")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_failed"), F.lit(False)))
+def join_verdicts(measured: DataFrame, verdicts: DataFrame, host: str) -> DataFrame:
+    """``measured`` with its hosts' verdicts, without a host's rows meeting in a task.
+
+    Hosts are broadcast while they are few. Of more, those with many documents still are (no more than
+    one in HOT_DOCUMENTS documents), and only the rows of the other hosts are shuffled.
+    """
+    verdicts = materialize(verdicts.select("__host", "host_docs", "host_rate", "host_failed"), "host-verdicts")
+    few = verdicts.count() <= BROADCAST_HOSTS
+    known = verdicts if few else verdicts.where(F.col("host_docs") >= HOT_DOCUMENTS)
+    same = F.col(host) == F.col("__host")
+    joined = measured.join(F.broadcast(known.drop("host_docs")), same, "left")
+    if not few:
+        other = joined.where(F.col("__host").isNull() & F.col(host).isNotNull()).select(*measured.columns)
+        rest = verdicts.where(F.col("host_docs") < HOT_DOCUMENTS).drop("host_docs")
+        joined = joined.where(F.col("__host").isNotNull() | F.col(host).isNull()).unionByName(other.join(rest, same, "left"))
+    return joined.drop("__host").withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_failed"), F.lit(False)))
 
 
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     narrow = materialize(measure_documents(docs).drop("text"), "host-measures")
-    judged = _join_verdicts(narrow, host_verdicts(narrow), "source")
+    judged = join_verdicts(narrow, host_verdicts(narrow), "source")
     return judged.select("doc_id", *MEASURES, "base_failed", "kept", F.round("host_rate", 9).alias("host_rate"))
