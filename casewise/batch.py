@@ -128,10 +128,9 @@ def build_period(spark: SparkSession, output: str, first: int = 2004, last: int
 
 def descriptive_report(dataset: DataFrame, folder: str, spec: StudySpec = Z_DRUGS_AND_FALLS) -> dict[str, DataFrame]:
     """Thirteen tables as CSV, and one Markdown file."""
-    columns = [c for c in dataset.columns if c not in ("caseid", "primaryid")][:19]
     tables = {
         "01_overview": report.overview(dataset),
-        "02_missingness": report.missingness(dataset, columns),
+        "02_missingness": report.missingness(dataset, report.KEY_COLUMNS),
         "03_age_summary": report.numeric_summary(dataset),
         "04_age_group": report.distribution(dataset, "age_group"),
         "05_sex": report.distribution(dataset, "sex_clean"),

@@ -40,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
         ("--target-col", {"default": "is_fall_narrow"}), ("--train-end-year", {"type": int, "default": 2023}), ("--valid-year", {"type": int, "default": 2024}),
         ("--test-year", {"type": int, "default": 2025}), ("--train-sample-n", {"type": int, "default": None}), ("--cv-folds", {"type": int, "default": 5}),
         ("--bootstrap-iterations", {"type": int, "default": 1000}), ("--random-state", {"type": int, "default": 42}),
+        ("--n-estimators", {"type": int, "default": None}), ("--max-depth", {"type": int, "default": None}), ("--learning-rate", {"type": float, "default": 0.05}),
     )
     return out
 
@@ -82,7 +83,11 @@ def run_model(spark: SparkSession, a: argparse.Namespace) -> None:
     signals, features = (spark.read.parquet(p) for p in sinks.one_pair(f"{a.output}/period", a.period_token, widest=True))
     parts = models.temporal_split(models.modelling_frame(signals, features, a.target_col), a.train_end_year, a.valid_year, a.test_year)
     train = models.balanced_weights(models.fixed_sample(parts["train"], a.train_sample_n, a.random_state)).cache()
-    make = {"logistic": models.logistic, "forest": lambda _: models.forest(seed=a.random_state), "boosted": lambda _: models.boosted(seed=a.random_state)}[a.kind]
+    make = {
+        "logistic": models.logistic,
+        "forest": lambda _: models.forest(a.n_estimators or 300, a.max_depth or 20, a.random_state),
+        "boosted": lambda _: models.boosted(a.n_estimators or 400, a.max_depth or 5, a.learning_rate, a.random_state),
+    }[a.kind]
     folder = sinks.run_folder(Path(a.output) / "models", a.kind)
     models.cv_summary(models.cross_validate(train.drop("weight"), make, a.cv_folds, a.random_state)).to_csv(folder / "cv.csv", index=False)
     model = models.fit(train, make(train))

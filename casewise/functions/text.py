@@ -33,9 +33,10 @@ def report_date(c: Column) -> Column:
 
 
 def boundary_pattern(terms) -> str:
-    """Any of ``terms`` not inside a longer run of letters or digits."""
-    longest_first = sorted({re.escape(t).replace(r"\ ", " ") for t in terms}, key=lambda t: (-len(t), t))
-    return rf"(?<![A-Z0-9])(?:{'|'.join(longest_first)})(?![A-Z0-9])"
+    """Any of ``terms`` not inside a longer run of letters or digits; at one place the longest term wins."""
+    inside = "[A-Z0-9]"
+    options = "|".join(re.escape(t) for t in sorted(set(terms), key=len, reverse=True))
+    return f"(?<!{inside})(?:{options})(?!{inside})"
 
 
 def mentions(name: Column, ingredient: Column, terms) -> Column:

@@ -69,14 +69,16 @@ def youden_threshold(scored: DataFrame) -> DataFrame:
 
 
 def calibration_bins(scored: DataFrame, bins: int = 10) -> DataFrame:
-    """(bin, n, mean_score, event_rate) over right-closed quantile bins; equal edges are merged."""
+    """(bin, n, mean_score, event_rate) over right-closed quantile bins, numbered from 1.
+
+    There are no more bins than distinct scores, and equal edges are merged; one score is one bin.
+    """
+    bins = max(1, min(bins, scored.select("score").distinct().limit(bins).count()))
     edges = scored.agg(F.percentile("score", F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("e")).first().e  # bins + 1 numbers
     edges = sorted(set(edges or []))
-    if len(edges) < 2:
-        edges = [(edges or [0.0])[0] - 1e-9, (edges or [0.0])[0]]
-    place = F.lit(len(edges) - 2)
+    place = F.lit(max(len(edges) - 1, 1))
     for i in range(len(edges) - 2, 0, -1):
-        place = F.when(F.col("score") <= edges[i], i - 1).otherwise(place)
+        place = F.when(F.col("score") <= edges[i], i).otherwise(place)
     rows = scored.withColumn("bin", place)
     return rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.avg("label").alias("event_rate"))
 

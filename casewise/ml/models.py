@@ -47,8 +47,10 @@ def split_summary(parts: dict[str, DataFrame]) -> DataFrame:
     return rows[0].union(rows[1]).union(rows[2])
 
 
-def fixed_sample(frame: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows in the order of a hash: the same rows however the frame is partitioned."""
+def fixed_sample(frame: DataFrame, n: int | None, seed: int = 42) -> DataFrame:
+    """``n`` rows in the order of a hash: the same rows however the frame is partitioned. None, 0 or less: all rows, as with no more than ``n``."""
+    if n is None or n <= 0 or frame.count() <= n:
+        return frame
     out = frame.orderBy(F.xxhash64("caseid", F.lit(seed)), "caseid").limit(n)
     if out.where("label = 1").isEmpty():
         raise ValueError("the sample has no positive case")
@@ -145,9 +147,10 @@ def bootstrap(scored: DataFrame, draws: int = 1000, seed: int = 42, threshold: f
     """(metric, low, high): percentile limits from stratified resamples.
 
     A resample only needs how often each distinct score is drawn, so draws run on counts by score: one
-    multinomial a label and draw, spread over tasks. The counts are as many as distinct scores.
+    multinomial a label and draw, spread over tasks. Scores count to six digits, so the counts, which
+    every task gets, are a million rows at most.
     """
-    counts = scored.groupBy(F.round("score", 6).alias("score")).agg(F.count_if("label = 1").alias("p"), F.count_if("label = 0").alias("n"))
+    counts = scored.groupBy(F.round("score", 6).alias("score")).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
     table = counts.orderBy("score").toPandas()
     s, p, n = table["score"].to_numpy(float), table["p"].to_numpy(np.int64), table["n"].to_numpy(np.int64)
 

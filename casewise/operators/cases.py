@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import mentions, normal, strip
+from ..functions.text import mentions, normal, strip, truth
 from ..plans.study import StudySpec
 from .cohort import with_case_id
 
@@ -121,9 +121,9 @@ def _filled(joined: DataFrame) -> DataFrame:
 
 def case_dataset(base: DataFrame, drugs: DataFrame, reactions: DataFrame, outcomes: DataFrame) -> DataFrame:
     """One row a case with all features; the child relations are unique on caseid by construction."""
-    joined = base.join(drug_feature(drugs), "caseid", "left").join(drug_exposure(drugs), "caseid", "left")
+    joined = base.drop("serious").join(drugs.select("caseid", *CLASSES, *COUNTS, *BURDEN, *SUSPECT, *GROUPS), "caseid", "left")
     joined = joined.join(reactions, "caseid", "left").join(outcomes, "caseid", "left")
-    return _filled(joined).withColumn("serious", F.col("is_serious_any"))
+    return _with_serious(_filled(joined), base)
 
 
 SIGNAL_COLUMNS = (
@@ -132,12 +132,19 @@ SIGNAL_COLUMNS = (
 )
 
 
+def _with_serious(cases: DataFrame, base: DataFrame) -> DataFrame:
+    """Seriousness as reported where the reports have any, else by outcome codes."""
+    if "serious" not in base.columns:
+        return cases.withColumn("serious", F.col("is_serious_any"))
+    return cases.join(base.select("caseid", "serious"), "caseid", "left").withColumn("serious", truth("serious"))
+
+
 def signal_dataset(base: DataFrame, drugs: DataFrame, reactions: DataFrame, outcomes: DataFrame) -> DataFrame:
     joined = base.select("caseid", "age_group", "sex_clean", "year", "quarter")
     joined = joined.join(drugs.select("caseid", "is_zolpidem_any", *SUSPECT, *GROUPS), "caseid", "left")
     joined = joined.join(reactions.drop("all_reac_n"), "caseid", "left")
-    joined = joined.join(outcomes.select("caseid", F.col("is_serious_any").alias("serious")), "caseid", "left")
-    return _filled(joined).select(*SIGNAL_COLUMNS)
+    joined = joined.join(outcomes.select("caseid", "is_serious_any"), "caseid", "left")
+    return _with_serious(_filled(joined), base).select(*SIGNAL_COLUMNS)
 
 
 def repeated_keys(relation: DataFrame, keys: tuple[str, ...] = ("caseid",), show: int = 10) -> DataFrame:
@@ -157,18 +164,17 @@ def term_profile(reac: DataFrame, base: DataFrame, exposure: DataFrame, primary_
     flag = "is_zolpidem_suspect_ps" if primary_only else "is_zolpidem_suspect"
     rows = with_case_id(reac.select("primaryid", "caseid", normal(F.col("pt")).alias("pt")), base).where("pt != ''")
     rows = rows.join(exposure.where(flag).select("caseid"), "caseid", "left_semi")
-    total = rows.agg(F.count("*").alias("all_rows"), F.count_distinct("caseid").alias("all_cases")).first()  # one row
-    ranked = rows.groupBy("pt").agg(F.count("*").alias("n_rows"), F.count_distinct("caseid").alias("n_cases"))
-    ranked = ranked.orderBy(F.desc("n_cases"), F.desc("n_rows"), "pt").limit(top)
-    place = F.row_number().over(_whole_order())
-    return ranked.select(
-        place.cast("long").alias("rank"), "pt", "n_rows", "n_cases",
-        F.round(100.0 * F.col("n_rows") / max(total.all_rows, 1), 6).alias("row_percent"),
-        F.round(100.0 * F.col("n_cases") / max(total.all_cases, 1), 6).alias("case_percent"),
-    )
-
+    # a row a case and term first; the totals are the last grouping set over the same rows, so rows are read once
+    pairs = rows.groupBy("caseid", "pt").agg(F.count("*").alias("n"))
+    sets = pairs.groupingSets([["pt"], []], "pt").agg(
+        F.grouping("pt").alias("whole"), F.sum("n").alias("n_rows"), F.count_distinct("caseid").alias("n_cases")
+    )
+    ranked = sets.orderBy(F.desc("whole"), F.desc("n_cases"), F.desc("n_rows"), "pt").limit(top + 1)
+    every = Window.partitionBy(F.lit(0))  # over at most top + 1 rows
+    place = F.row_number().over(Window.orderBy(F.desc("whole"), F.desc("n_cases"), F.desc("n_rows"), "pt"))
 
-def _whole_order():
-    from pyspark.sql import Window
+    def share(name: str) -> Column:
+        return F.round(100.0 * F.col(name) / F.greatest(F.max(F.when(F.col("whole") == 1, F.col(name))).over(every), F.lit(1)), 6)
 
-    return Window.orderBy(F.desc("n_cases"), F.desc("n_rows"), "pt")  # over at most ``top`` rows
+    placed = ranked.select("whole", (place - 1).cast("long").alias("rank"), "pt", "n_rows", "n_cases", share("n_rows").alias("row_percent"), share("n_cases").alias("case_percent"))
+    return placed.where("whole = 0").drop("whole")

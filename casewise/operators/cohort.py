@@ -42,6 +42,10 @@ def case_base(
     years = age_years(number(F.col("age")), F.col("age_cod"))
     base = last.withColumn("age_years", years).withColumn("sex_clean", clean_sex(F.col("sex"), fallback))
     base = base.where(F.col("age_years").between(spec.min_age, spec.max_age) & F.col("sex_clean").isin("F", "M"))
+    serious = []
+    if "serious" in base.columns:
+        text = F.upper(strip(F.col("serious")))
+        serious = [F.when(text.isin("1", "Y", "YES", "TRUE"), True).when(text != "", False).alias("serious")]
     return base.select(
         strip(F.col("caseid")).alias("caseid"),
         F.col("primaryid").cast("long").alias("primaryid"),
@@ -52,6 +56,7 @@ def case_base(
         F.col("year").cast("int").alias("year"),
         F.col("quarter").cast("string").alias("quarter"),
         F.concat(F.col("year").cast("int").cast("string"), F.col("quarter")).alias("year_quarter"),
+        *serious,
     )
 
 

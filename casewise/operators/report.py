@@ -27,6 +27,13 @@ def _rows(one: DataFrame, name: str, value: str) -> DataFrame:
     return one.selectExpr(f"stack({len(one.columns)}, {pairs}) as ({name}, {value})")
 
 
+#: Columns whose missing values the report counts (fixed values).
+KEY_COLUMNS = [
+    "caseid", "primaryid", "fda_dt", "age_years", "age_group", "sex_clean", "serious", "is_serious_any", "is_fall_narrow", "is_fall_broad", "fall_pt_list",
+    "is_zolpidem", "is_zolpidem_suspect", "is_zolpidem_suspect_ps", "target_drug_group", "target_drug_group_ps", "polypharmacy_5", "drug_n", "distinct_drug_n",
+]
+
+
 def missingness(cases: DataFrame, columns: list[str]) -> DataFrame:
     """Null or blank values by column; columns that the relation lacks are left out."""
     have = [c for c in columns if c in cases.columns]

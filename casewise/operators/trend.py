@@ -72,8 +72,11 @@ def trend_tests(rates: DataFrame) -> dict[str, float | None]:
 
 
 def crosstab(cases: DataFrame, exposure: str = "is_zolpidem_suspect", outcome: str = "is_fall_narrow") -> DataFrame:
-    rows = cases.where(truth(exposure)).select("age_group", truth(outcome).cast("int").alias("outcome"))
-    return rows.groupBy("age_group").pivot("outcome", [0, 1]).agg(F.count(F.lit(1))).na.fill(0).withColumnsRenamed({"0": "no_outcome", "1": "outcome"})
+    """Exposed cases of each age group without and with the outcome; a group without cases is a row of zeros."""
+    groups = cases.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ("65-74", "75-84", ">=85")))).alias("age_group"))
+    rows = cases.where(truth(exposure)).groupBy("age_group")
+    counts = rows.agg(F.count_if(~truth(outcome)).alias("no_outcome"), F.count_if(truth(outcome)).alias("outcome"))
+    return groups.join(counts, "age_group", "left").na.fill(0)
 
 
 def covariate_patterns(cases: DataFrame, outcome: str = "is_fall_narrow", exposure: str = "is_zolpidem_suspect") -> DataFrame:

@@ -104,3 +104,10 @@ def test_training_sample_follows_the_kind_of_model(monkeypatch):
         cli.main(["model", "--kind", kind], object())
     cli.main(["model", "--kind", "boosted", "--train-sample-n", "7"], object())
     assert seen == [400_000, 200_000, 300_000, 7]
+
+
+def test_deleted_cases_are_found_in_a_folder_of_any_case(spark, tmp_path):
+    write(tmp_path / "2024" / "q1" / "Deleted" / "d.txt", "12\n")
+    assert [r.caseid for r in q.deleted_cases(spark, tmp_path, 2024, "Q1").collect()] == ["12"]
+    with pytest.raises(ValueError, match="2004"):
+        q.quarter_file(tmp_path, 1999, "Q1", "DEMO")

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from casewise import cli
 from casewise.ml import metrics, models
 from pyspark.sql import functions as F
 
@@ -42,3 +43,31 @@ def test_logistic_matches_a_newton_solution(spark):
     fold = models.folds(frame, 5).groupBy("label", "fold").count().toPandas()
     assert fold.groupby("label")["count"].agg(lambda c: c.max() - c.min()).max() <= 1
     assert models.fit(frame, models.forest(5, 4)) and models.fit(frame, models.boosted(3, 2))
+
+
+def tiny_period(spark, folder):
+    rows = [(f"c{i}", i % 7 == 0, i % 5 == 0, i % 3 == 0, ["65-74", "75-84", ">=85"][i % 3], "FM"[i % 2], f"Q{1 + i % 4}", 2021 + i % 4, 1 + i % 9, 1 + i % 6, i % 11 > 4) for i in range(420)]
+    names = ["caseid", "is_fall_narrow", "is_fall_broad", "serious", "age_group", "sex_clean", "quarter", "year", "drug_n", "distinct_drug_n", "flag"]
+    frame = spark.createDataFrame(rows, names)
+    frame.drop("drug_n", "distinct_drug_n", "flag").write.parquet(f"{folder}/period/signal_dataset_2021_2024")
+    flags = [F.col("flag").alias(c) for c in models.FLAGS]
+    frame.select("caseid", "drug_n", "distinct_drug_n", *flags).write.parquet(f"{folder}/period/feature_dataset_2021_2024")
+
+
+@pytest.mark.parametrize("kind", ["logistic", "forest", "boosted"])
+def test_model_command(spark, tmp_path, kind):
+    tiny_period(spark, tmp_path)
+    options = ["--train-end-year", "2022", "--valid-year", "2023", "--test-year", "2024", "--cv-folds", "2", "--bootstrap-iterations", "20"]
+    cli.main(["model", "--output", str(tmp_path), "--kind", kind, *options, "--n-estimators", "3", "--max-depth", "2"], spark)
+    (folder,) = (tmp_path / "models").iterdir()
+    assert {p.name for p in folder.iterdir()} >= {"cv.csv", "metrics.json", "split.csv", "roc.csv", "calibration.csv", "bootstrap.csv", "predictions", "pipeline", "features.csv"}
+    assert spark.read.parquet(str(folder / "predictions")).count() == 105
+
+
+def test_sample_and_bins(spark):
+    frame = spark.createDataFrame([(str(i), int(i == 3)) for i in range(20)], "caseid string, label int")
+    assert [models.fixed_sample(frame, n).count() for n in (None, 0, -1, 20, 50)] == [20] * 5
+    one = spark.createDataFrame([(1, 0.5), (0, 0.5)], "label int, score double")
+    assert [tuple(r) for r in metrics.calibration_bins(one).collect()] == [(1, 2, 0.5, 0.5)]
+    three = spark.createDataFrame([(i % 2, s) for i, s in enumerate([0.1, 0.2, 0.3] * 4)], "label int, score double")
+    assert sorted(r.bin for r in metrics.calibration_bins(three).collect()) == [1, 2, 3]
