@@ -5,6 +5,7 @@ import itertools
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -140,8 +141,50 @@ def test_personal_data_places(spark, odd, nothing):
 
 
 def test_reliabilities_from_votes():
-    model = pii.estimate({"3|1|1|1|2s": 200, "3|1|1|0|2s": 300, "3|0|0|0|2s": 400, "3|0|1|0|2s": 50})
-    assert model["3|1|1|1|2s"] > 0.7 > 0.4 > model["3|0|0|0|2s"]
+    model = pii.estimate({"3|1|1|1|1|2s": 200, "3|1|1|0|1|2s": 300, "3|0|0|0|0|2s": 400, "3|0|1|0|0|2s": 50})
+    assert model["3|1|1|1|1|2s"] > 0.7 > 0.4 > model["3|0|0|0|0|2s"]
+
+
+def test_added_spans_against_a_written_key(spark):
+    """Texts with a key: what is between braces is personal data of the kind before it, all else is not."""
+    rng, rows = random.Random(4), []
+    digest = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    for i in range(400):
+        rows.append(rng.choice([
+            f'login token = "{{secret:{digest(40)}}}" end', f"api key {{secret:{digest(32)}}} end", "das Donaudampfschifffahrtsgesellschaft fährt",
+            f"please call {{phone:({rng.randint(200, 890)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}}} now", f"part 123 456-{rng.randint(1000, 9999)} of it",
+            f"write to {{email:bob{i}(at)mail.example(dot)org}} soon", f"he came at noon dot to dot {i}", "mail {email:a.b@example.com} or {phone:+1 (555) 123-4567}",
+            "card {card:4222222222222} old", f"card 4111 1111 1111 {rng.choice([1112, 1113, 1115])} wrong", "host {ip:2001:db8:85a3:1:2:8a2e:370:7334} up", "plain words only",
+        ]))
+    texts, keys = [], []
+    for row in rows:
+        text, key = "", []
+        for part in re.split(r"(\{\w+:[^}]*\})", row):
+            if part.startswith("{"):
+                kind, value = part[1:-1].split(":", 1)
+                key.append(f"{kind}:{len(text)}:{len(text) + len(value)}")
+                part = value
+            text += part
+        texts.append(text)
+        keys.append(key)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.find_candidates(docs).cache()
+    model = pii.span_model(found)
+    got = {r.doc_id: r.s.split(",") if r.s else [] for r in found.select("doc_id", pii.span_text(pii.accepted(F.col("__c"), model)).alias("s")).collect()}
+    hits = sum(len(set(got[i]) & set(k)) for i, k in enumerate(keys))
+    assert hits >= 0.95 * sum(map(len, got.values())) and hits >= 0.95 * sum(map(len, keys))
+    clean = {r.doc_id: r.text for r in pii.redact_documents(docs).collect()}
+    assert all("[SECRET]" in clean[i] for i, k in enumerate(keys) if k and k[0].startswith("secret"))
+
+
+def test_many_matches_in_a_text(spark):
+    text = " é ".join(f"u{i}@mail.example.com" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text), (2, "+1 555 123 4567 " * 40 + "x@y.z")], "doc_id long, text string")
+    began = time.perf_counter()
+    clean = {r.doc_id: r.text for r in pii.redact_documents(docs).collect()}
+    assert clean[1] == " é ".join(["[EMAIL]"] * 20_000) and clean[2].endswith("[EMAIL]") and time.perf_counter() - began < 60
+    places = pii.find_candidates(docs.where("doc_id = 1")).select(F.element_at("__c", -1)["e"].alias("e")).first().e
+    assert places == len(text)
 
 
 def test_encoding_equals_the_library(spark, odd, nothing):
