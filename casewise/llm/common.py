@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 import uuid
 from collections.abc import Iterator
@@ -72,6 +73,25 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+_OF_STAGE: dict = {"open": False, "tables": []}  # tables that the last pipeline stage wrote for itself
+
+
+def staged(stage):
+    """A pipeline stage whose tables in the shared folder last until the next stage begins, when its result has been written."""
+
+    @functools.wraps(stage)
+    def run(spark, docs, sf_dir):
+        for old in _OF_STAGE["tables"]:
+            discard(old)
+        _OF_STAGE.update(open=True, tables=[])
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:
+            _OF_STAGE["open"] = False
+
+    return run
+
+
 def materialize(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return the reread table.
 
@@ -83,7 +103,10 @@ def materialize(df: DataFrame, tag: str, partition_by: str | None = None) -> Dat
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    if _OF_STAGE["open"]:
+        _OF_STAGE["tables"].append(written)
+    return written
 
 
 def discard(df: DataFrame) -> None:
