@@ -9,8 +9,8 @@ with weights that are not negative, fitted to labelled documents.
 
 Labels are of documents, so training first finds witness words: words of toxic documents that hold a
 letter run frequent there and absent from clean documents. Training reads a sample of labelled rows
-bounded by ``Training``; scoring reads every whole text. Kernel values are computed once per distinct
-word in a bounded memo.
+bounded by ``Training``, whose texts it reads whole, and leaves out keys labelled both ways; scoring
+reads every whole text. Kernel values are computed once per distinct word in a bounded memo.
 
 Defined results: null or empty texts score as having no word (near 0); without labels of both kinds
 every score is 0; repeated rows score alike; an empty table gives an empty result; other columns pass
@@ -43,9 +43,8 @@ _SPAN = 16  # longer words are read in overlapping spans of this many letters
 class Training:
     toxic_documents: int = 1500  # labelled rows read at most, by kind
     clean_documents: int = 3000
-    clean_words: int = 150_000  # distinct words of clean documents searched for hard cases
     landmarks: int = 48
-    landmark_letters: int = 12
+    landmark_letters: int = _SPAN + 1  # a whole span with its start mark
     decay: float = 0.6
     penalty: float = 2e-4
     rounds: int = 4
@@ -222,7 +221,7 @@ def _witnesses(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
     """Spans in toxic documents around the letter run that tells most against clean documents."""
 
     def counted(bags: list[set[str]]) -> Counter:
-        return Counter(chain.from_iterable({r for w in bag for r in _runs(spans_of(w)[0])} for bag in bags))
+        return Counter(chain.from_iterable({r for w in bag for span in spans_of(w) for r in _runs(span)} for bag in bags))
 
     in_toxic, in_clean = counted(toxic), counted(clean)
 
@@ -232,11 +231,11 @@ def _witnesses(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
         return n * float(np.log(ratio)) if n >= 2 and ratio > 3 else 0.0
 
     worth = {run: gain(run) for run in in_toxic}
-    typical = sorted((max((worth[r] for w in bag for r in _runs(spans_of(w)[0])), default=0.0) for bag in toxic), reverse=True)
+    typical = sorted((max((worth[r] for w in bag for span in spans_of(w) for r in _runs(span)), default=0.0) for bag in toxic), reverse=True)
     least = max(8.0, 0.04 * typical[len(typical) // 2])
     found: set[str] = set()
     for bag in toxic:
-        mine = {span: max(worth[r] for r in _runs(span)) for span in {spans_of(w)[0] for w in bag}}
+        mine = {span: max(worth[r] for r in _runs(span)) for span in set(chain.from_iterable(map(spans_of, bag)))}
         top = max(mine.values(), default=0.0)
         if top > 0 and top >= least:
             found |= {span for span, value in mine.items() if value >= 0.5 * top}
@@ -307,20 +306,18 @@ def fit(texts: list[str], toxic: list[int], p: Training = Training()) -> Model |
     if not bad or not good:
         return None
     common = Counter(chain.from_iterable({s for w in b for s in spans_of(w)} for b in good))
-    seen_in = Counter(chain.from_iterable({spans_of(w)[0] for w in b} for b in bad))
-    positive = sorted(s for s in _witnesses(bad, good) if seen_in[s] > common[s])[:4000]
+    seen_in = Counter(chain.from_iterable({s for w in b for s in spans_of(w)} for b in bad))
+    positive = sorted(s for s in _witnesses(bad, good) if seen_in[s] > common[s])
     ranked = sorted(common.keys() - set(positive), key=lambda s: (-common[s], s))
     if not positive or not ranked:
         return None
-    step = max(1, len(ranked) // p.clean_words)
-    pool = ranked[:: step] if step > 1 else ranked
     marks = _landmarks(positive, ranked[:2000], p)
     gram = normalised([m[: p.landmark_letters] for m in marks], marks, p.decay, p.landmark_letters).astype(float)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     keep = values > 1e-4 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
     x_pos = normalised(positive, marks, p.decay, p.landmark_letters) @ whiten
-    chosen = dict.fromkeys(pool[:1500] + pool[:: max(1, len(pool) // 1500)])
+    chosen = dict.fromkeys(ranked[:1500] + ranked[:: max(1, len(ranked) // 1500)])
     x_neg = normalised(list(chosen), marks, p.decay, p.landmark_letters) @ whiten
     for turn in range(p.rounds):  # the clean words nearest to the insults join
         x = np.vstack([x_pos, x_neg])
@@ -330,8 +327,8 @@ def fit(texts: list[str], toxic: list[int], p: Training = Training()) -> Model |
         w = _squared_hinge(x, y, cost, p.penalty)
         model = Model(marks, whiten @ w[:-1], float(w[-1]), p.decay, p.landmark_letters, np.ones(len(EDGES) + 1))
         if turn + 1 < p.rounds:
-            worst = model.span_margins(pool)
-            hard = [pool[i] for i in np.argsort(-worst, kind="stable")[:1500] if worst[i] > -0.8 and pool[i] not in chosen]
+            worst = model.span_margins(ranked)
+            hard = [ranked[i] for i in np.argsort(-worst, kind="stable")[:1500] if worst[i] > -0.8 and ranked[i] not in chosen]
             if not hard:
                 break
             chosen.update(dict.fromkeys(hard))
@@ -345,11 +342,12 @@ def fit(texts: list[str], toxic: list[int], p: Training = Training()) -> Model |
 def train(docs: DataFrame, labels: DataFrame, p: Training = Training(), key: str = "doc_id", text: str = "text") -> Model | None:
     """Fit on a bounded sample of labelled rows, chosen by a hash of the key; never on held-out rows."""
     labelled = labels.where(F.col("toxic").isin(0, 1) & F.col(key).isNotNull()).where(~held_out(F.col(key)))
+    agreed = labelled.groupBy(key).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
     picked = [
-        labelled.where(F.col("toxic") == kind).select(key, "toxic").orderBy(F.xxhash64(key), key).limit(most)
+        agreed.where(F.col("toxic") == kind).select(key, "toxic").orderBy(F.xxhash64(key), key).limit(most)
         for kind, most in ((1, p.toxic_documents), (0, p.clean_documents))
     ]
-    sample = picked[0].union(picked[1]).dropDuplicates([key])
+    sample = picked[0].union(picked[1])
     rows = docs.select(key, F.col(text).cast("string").alias("t")).join(F.broadcast(sample), key).select("t", "toxic").toPandas()
     rows = rows.sort_values(["toxic", "t"], kind="stable")
     return fit([t or "" for t in rows["t"]], [int(y) for y in rows["toxic"]], p)

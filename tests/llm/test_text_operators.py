@@ -105,6 +105,20 @@ def test_no_labels_of_one_kind(spark, odd):
     assert {r.score for r in toxicity.score_documents(odd, None).collect()} == {0.0}
 
 
+def test_training_reads_whole_words_and_no_contradictions(spark):
+    bad = [("plainletters" * 2 + "q" + "uvwxzjk" + "plainletters" + " and or", 1) for _ in range(30)]
+    good = [("plainletters" * 2 + " and or but so", 0), ("abcdefghijklm plainletters", 0)] * 30
+    model = toxicity.fit(*map(list, zip(*(bad + good))))
+    scores = [model.probability(model.margins(list(toxicity.words_of(t)))) for t in ("plainletters" * 3 + "quvwxzjk" + "plainletters", "plainletters" * 4)]
+    assert scores[0] > 0.5 > scores[1]
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in zip(ids, bad[:10] + good[:20])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i in ids[:10] for y in (0, 1)] + [(i, 0) for i in ids[10:30]], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels) is None
+    agreed = labels.where(f"toxic = 1 or doc_id > {ids[9]}")
+    assert toxicity.train(docs, agreed.union(agreed)) is not None
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
