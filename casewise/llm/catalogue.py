@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_redirect_equivalence": sql.URL_RULES,
+    "op2_chat_formatting": sql.CHAT,
     "op4_host_rules": sql.HOST_RULES,
 }

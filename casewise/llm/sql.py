@@ -46,3 +46,85 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        (not base_failed and not coalesce(host_rate > 0.75, false)) as kept, round(host_rate, 9) as host_rate
 from r left join v on r.source = v.source
 """
+
+CHAT = r"""
+with turns as (
+  select cast(conv_id as bigint) as c, cast(turn as bigint) as n, coalesce(role, '') as r, coalesce("text", '') as t from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), numbered as (
+  select *, row_number() over (partition by c order by n nulls first, r, t) as place,
+         case when r in ('system', 'user', 'assistant') then r end as known
+  from turns
+), stated as (
+  select *, coalesce(last_value(known ignore nulls) over (partition by c order by place rows between unbounded preceding and 1 preceding), 'none') as before,
+         replace(replace(replace(t, '\', '\\'), '###', '\h'), '</turn>', '\e') as escaped,
+         replace(replace(replace(replace(r, '\', '\\'), '###', '\h'), '</turn>', '\e'), ':', '\c') as escaped_role
+  from numbered
+)
+select c as conv_id, count(*) as n_turns,
+       sha256(string_agg(r || chr(10) || t || chr(10), '' order by place)) as turns_sha256,
+       cast(sum(case when r = 'assistant' then length(t) else 0 end) as bigint) as loss_chars,
+       sha256(string_agg(case when r = 'assistant' then t else '' end, '' order by place)) as loss_sha256,
+       cast(sum(length('### : </turn>') + 1 + length(escaped) + case when known is null then 1 + length(escaped_role) else length(r) end) as bigint) as formatted_chars,
+       bool_and((r, before) in (('system', 'none'), ('user', 'none'), ('user', 'system'), ('assistant', 'user'), ('user', 'assistant'))) as in_order
+from stated group by c
+"""
+
+_URL_PARTS = r"""
+  translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path,
+  regexp_extract({u}, '(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)', 1) as query
+"""
+_URL_RULE = r"""case
+  when regexp_matches(host, '(^|\.)www\.example\.com$') and starts_with(path, '/en/') then 'www.example.com/en/'
+  when regexp_matches(host, '(^|\.)example\.com$') and starts_with(path, '/en/') then 'example.com/en/'
+  when regexp_matches(host, '(^|\.)net$') and starts_with(path, '/es/') then 'net/es/'
+  when regexp_matches(host, '(^|\.)net$') and starts_with(path, '/fr/') then 'net/fr/'
+  when regexp_matches(host, '(^|\.)com$') and starts_with(path, '/') then 'com/' end"""
+_BLOCKS = "('example.com/en/', 'net/es/', 'net/fr/')"
+
+URL_RULES = rf"""
+with recursive own as (
+  select page_id, url, {_URL_PARTS.format(u="coalesce(url, '')")} from pages
+), judged as (
+  select page_id, host, path, {_URL_RULE} as rule, case when contains(url, '://') then host || path || query end as node from own
+), tags as (
+  select url as u, unnest([
+    list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*'), lambda x: regexp_matches(x, '(?is)\brel\s*=\s*["'']?canonical\b') and regexp_matches(x, '(?is)\bhref\s*=\s*["'']?[^"''\s>]'))[1],
+    list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*'), lambda x: regexp_matches(x, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b') and regexp_matches(x, '(?is)\burl\s*=\s*["'']?[^"''\s>;]'))[1]
+  ]) as tag from pages where contains(url, '://')
+), targets as (
+  select u, case when regexp_matches(tag, '(?i)^<link') then regexp_extract(tag, '(?is).*\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+                 else regexp_extract(tag, '(?is).*\burl\s*=\s*["'']?([^"''\s>;]+)', 1) end as t
+  from tags where tag is not null
+), sites as (
+  select u, t, regexp_extract(u, '(?s)^(.*?)://', 1) as scheme, {_URL_PARTS.format(u="u")} from targets
+), full_urls as (
+  select host || path || query as a,
+         case when starts_with(t, '//') then scheme || ':' || t
+              when starts_with(t, '/') then scheme || '://' || host || t
+              when contains(t, '://') then t
+              else scheme || '://' || host || regexp_extract(path, '(?s)^(.*/)?', 0) || t end as v
+  from sites
+), ends as (
+  select a, {_URL_PARTS.format(u="v")} from full_urls where contains(v, '://')
+), ties as (
+  select distinct a, host || path || query as b from ends where a <> host || path || query
+), both_ways as (
+  select a, b from ties union select b, a from ties
+), reach as (
+  select a as node, a as other from both_ways union select reach.node, both_ways.b from reach join both_ways on reach.other = both_ways.a
+), parts as (
+  select node, other, {_URL_PARTS.format(u="'x://' || other")} from reach
+), named as (
+  select node, {_URL_RULE} as rule from parts
+), bad as (
+  select node from named group by node
+  having coalesce(bool_or(rule in {_BLOCKS}), false) and not coalesce(bool_or(rule is not null and rule not in {_BLOCKS}), false)
+)
+select page_id, host, path, rule,
+       case when rule in {_BLOCKS} then 'block' when rule is not null then 'allow' when bad.node is not null then 'block' else 'allow' end as verdict,
+       bad.node is not null as alias_blocked
+from judged left join bad on judged.node = bad.node
+"""

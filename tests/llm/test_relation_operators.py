@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +53,35 @@ def test_redirects_carry_blocks_but_not_over_allows(spark):
     assert url_filter.judge_pages(pages.limit(0)).count() == 0
 
 
+def test_url_sql_agrees_on_random_ties(spark, tmp_path):
+    rng = random.Random(11)
+    hosts = ["a.example.com", "www.example.com", "Example.com", "b.net", "c.org", "d.org", "xcom"]
+    url = lambda: f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}{rng.choice(['', '/', '/en/', '/es/', '/fr/x'])}{rng.choice(['', str(rng.randint(0, 9))])}{rng.choice(['', '?q=1', '#top'])}"
+    rows = [(i, url(), rng.choice([None, "", f'<p><link href="{url()}" rel="canonical">', f"<META http-equiv=refresh content='3; url={url()}'>", "<link rel=canonical href=/es/k>", "<link rel=canonical href=z>"])) for i in range(400)]
+    rows += [(1, None, "<link rel=canonical href=http://b.net/es/>"), (None, "b.net", ""), (2, "", None), *rows[:5]]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    columns = ["page_id", "host", "path", "rule", "verdict", "alias_blocked"]
+    want = db.sql(ORACLES["op1_redirect_equivalence"]).project(", ".join(columns)).fetchall()
+    got = QUERIES["op1_redirect_equivalence"](spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and 0 < sum(r.alias_blocked for r in got) < len(got)
+
+
+def test_chat_sql_agrees_on_odd_turns(spark, tmp_path):
+    rng = random.Random(12)
+    texts = [None, "", "x", "\\", "### a", "</turn>\n", "\\h###</turn>", "é😀:"]
+    roles = ["user", "assistant", "system", "tool", None, "a:b", "###\\"]
+    rows = [(rng.choice([None, *range(30)]), rng.choice([None, 0, 1, 2, 3]), rng.choice(roles[: rng.choice([2, 7])]), rng.choice(texts)) for _ in range(300)]
+    spark.createDataFrame(rows + rows[:9], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    got = QUERIES["op2_chat_formatting"](spark, str(tmp_path))
+    want = db.sql(ORACLES["op2_chat_formatting"]).project(", ".join(got.columns)).fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 def test_conversations_read_back(spark):
     rng = random.Random(8)
     parts = ["\\", "#", "##", "###", "<", "</turn", ">", "</turn>", "\n", "h", "e", "c", ":", " ", "### User: ", "é", "😀"]
@@ -187,6 +217,14 @@ def test_lookup_table(spark, odd):
     sizes = Counter(owner)
     assert max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 20
     rest = [n for n in names if n != "s7"]
+    claims = {}  # every shard's whole order of preference, one claim a turn
+    orders = []
+    for name in names:
+        start, stride = (int(hashlib.md5(f"{kind}:{name}".encode()).hexdigest()[:16], 16) for kind in ("offset", "skip"))
+        orders.append(iter([(start + j * (stride % 2038 + 1)) % 2039 for j in range(2039)]))
+    for turn in range(2039):
+        claims[next(slot for slot in orders[turn % len(names)] if slot not in claims)] = turn % len(names)
+    assert [claims[slot] for slot in range(2039)] == owner
     after = sharding.lookup_table(rest, 2039)
     assert sum(names[a] != rest[b] for a, b in zip(owner, after) if names[a] != "s7") < 0.06 * 2039
     placed = sharding.place_rows(odd.withColumn("shard", F.lit("clash")), "doc_id", names, 2039)
