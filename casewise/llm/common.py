@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -62,13 +63,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); one of our own only if it is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir); one of our own only if it is unset and Spark runs in one process."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_dir:
         return set_dir
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir("/tmp/casewise-shared")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
