@@ -12,7 +12,7 @@ the number of queries can fill a task. Only the sample and one count a cell reac
 
 Defined results: vectors that are null, zero, of another length than most, or hold a null or
 non-finite component take no part; ties go to the smaller vec_id; repeated rows are candidates of
-their own, but a query never finds its own id; with fewer candidates all are returned; an empty table
+their own, but a query never finds its own id; an id with several vectors asks with the least of them; with fewer candidates all are returned; an empty table
 gives an empty result.
 """
 
@@ -192,7 +192,7 @@ def search(vectors: DataFrame, is_query, p: Search = Search(), key: str = "vec_i
             yield pd.DataFrame({"query_id": frame["vec_id"].to_numpy()[i], "q": frame["v"].to_numpy()[i], "cell": c.astype("int32"), "chunk": k.astype("int32")})
 
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    queries = index.where(is_query("vec_id")).select("vec_id", "v").dropDuplicates(["vec_id"])
+    queries = index.where(is_query("vec_id")).groupBy("vec_id").agg(F.min("v").alias("v"))
     queries = queries.mapInPandas(routed, "query_id long, q array<double>, cell int, chunk int").withColumn("block", block)
     count = F.element_at(F.create_map(*[F.lit(int(z)) for pair in chunks.items() for z in pair]), F.col("cell"))
     dealt = index.withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.col("v")), count).cast("int"))

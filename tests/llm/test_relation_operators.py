@@ -211,6 +211,16 @@ def test_signature_tree_keeps_every_possible_pair():
     assert len(left) < len(sets) ** 2 / 8
 
 
+def test_search_with_several_vectors_of_one_id(spark):
+    rows = [(0, [2.0, 0.0, 0.0, 1.0]), (0, [0.0, 3.0, 0.0, 1.0]), (0, [0.0, 3.0, 0.0, 1.0])] + [(i, [float(i % 7), float(i % 5), 1.0, 0.0]) for i in range(1, 60)]
+    for turn in range(2):
+        random.Random(turn).shuffle(rows)
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3 + turn)
+        got = inner_product.search(df, lambda c: F.col(c) == 0).orderBy("rank").collect()
+        want = sorted((-3.0 * (i % 5), i) for i in range(1, 60))[:20]
+        assert [(r.vec_id, r.score) for r in got] == [(i, -m) for m, i in want]
+
+
 def test_lookup_table(spark, odd):
     names = [f"s{i}" for i in range(20)]
     owner = sharding.lookup_table(names, 2039)
