@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, host_rules, inner_product, ngram_join, packing, pii, sharding, sql, toxicity, url_filter
+from . import bpe, chat, click_windows, host_rules, inner_product, ngram_join, packing, pii, sharding, sql, toxicity, url_filter
 
 QUERIES = {
     "op1_redirect_equivalence": url_filter.op1_redirect_equivalence,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_weak_supervision_pii": pii.op8_weak_supervision_pii,
     "op9_vector_packing": packing.op9_vector_packing,
     "op10_bpe_transducer": bpe.op10_bpe_transducer,
+    "op11_click_windows": click_windows.op11_click_windows,
 }
 
 ORACLES = {
