@@ -45,6 +45,8 @@ PAGES = 8
 #: Copies that a bucket gets in a batch, about; and those that a task packs at once.
 BUCKET_COPIES, PACK_COPIES = 32_768, 400_000
 LEAST_BUCKETS = 32
+#: Copies of a batch for one state partition, about; each keeps a store of its own, so small streams get few.
+PARTITION_COPIES = 50_000
 HEAVY = 50_000
 #: Hours that event times lie after 1970 at least, so that no watermark is held at zero.
 AHEAD = 240
@@ -62,6 +64,7 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": _ROCKS,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.minBatchesToRetain": "2",
     "spark.sql.maxConcurrentOutputFileWriters": "64",
 }
@@ -298,6 +301,9 @@ def deduplicate_clicks(clicks: DataFrame, batches: int = BATCHES, heavy: int = H
             return spark.createDataFrame([], RESULT)
         first, n = cut
         buckets = max(LEAST_BUCKETS, -(-n // (batches * BUCKET_COPIES)))
+        parts = "spark.sql.shuffle.partitions"
+        before[parts] = spark.conf.get(parts)
+        spark.conf.set(parts, str(min(int(before[parts]), max(4, n // (batches * PARTITION_COPIES)))))
         store, feed = _store(spark, f"{home}/feed")
         store.mkdirs(feed)
         for batch in range(batches):
