@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, click_windows, host_rules, inner_product, ngram_join, packing, pii, sharding, sql, toxicity, url_filter
+from . import bpe, chat, click_windows, heap_codes, host_rules, inner_product, ngram_join, packing, pii, rotated_codes, sharding, sql, toxicity, url_filter
 
 QUERIES = {
     "op1_redirect_equivalence": url_filter.op1_redirect_equivalence,
@@ -16,10 +16,15 @@ QUERIES = {
     "op9_vector_packing": packing.op9_vector_packing,
     "op10_bpe_transducer": bpe.op10_bpe_transducer,
     "op11_click_windows": click_windows.op11_click_windows,
+    "op12_rotated_codes": rotated_codes.op12_rotated_codes,
+    "op13_heap_lloyd": heap_codes.op13_heap_lloyd,
 }
 
 ORACLES = {
     "op1_redirect_equivalence": sql.URL_RULES,
     "op2_chat_formatting": sql.CHAT,
     "op4_host_rules": sql.HOST_RULES,
+    "op11_click_windows": sql.CLICK_WINDOWS,
+    "op12_rotated_codes": sql.NEAR_VECTORS,
+    "op13_heap_lloyd": sql.HEAP_LLOYD,
 }

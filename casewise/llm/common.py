@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -29,6 +30,19 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession):
+    """``bound_batches`` for jobs that run inside; afterwards the session has its own settings again."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = {k: spark.conf.get(k) for k in keys}
+    bound_batches(spark)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def in_parts(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices of about ``most`` bytes, for the way back to the JVM."""
     rows = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))

@@ -128,3 +128,111 @@ select page_id, host, path, rule,
        bad.node is not null as alias_blocked
 from judged left join bad on judged.node = bad.node
 """
+
+#: crc32 of a text of ASCII characters; ``t`` is its table, computed by rule below.
+_CRC = "xor(list_reduce(list_transform(range(1, length({s}) + 1), lambda i: cast(ascii({s}[i]) as bigint)), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]), 4294967295), 4294967295)"
+
+CLICK_WINDOWS = rf"""
+with recursive table_of as (
+  select list_transform(range(256), lambda n: list_reduce(range(8), lambda a, i: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, cast(n as bigint))) as t
+), rows_of as (
+  select click_id, cast(floor(epoch_us(arrived_at) / 3600000000) as bigint) as base_hour,
+         concat_ws('|', coalesce(cast(client_id as varchar), ''), coalesce(kind, ''), coalesce(cast(cast(floor(100 * "value" + 0.5) as bigint) as varchar), ''),
+                   coalesce(cast(epoch_us(ts) as varchar), ''), coalesce(props, '')) as fields
+  from clicks where click_id is not null and arrived_at is not null
+), numbered as (
+  select *, unnest(range(0, greatest(click_id % 3, 0) + 1)) as j from rows_of
+), named as (
+  select *, concat(click_id, ':', j) as own from numbered
+), coded as (
+  select click_id, base_hour, j, fields, {_CRC.format(s="own")} as c from named, table_of
+), timed as (
+  select click_id, base_hour + 6 * j * (c % 10) as hour, base_hour + 6 * j * (c % 10) + (c // 10) % 200 as l, sha256(concat(fields, '|', c % 3)) as hash from coded
+), ends as (
+  select min(l) as low, max(l) as high from timed
+), dealt as (
+  select click_id, hour, hash, (l - low) * 12 // (high - low + 1) as batch from timed, ends
+), largest as (
+  select b, (select max(hour) from dealt where batch < b) - 48 as boundary from range(1, 13) r(b)
+), events as (
+  select click_id, hour, hash, batch, row_number() over (partition by click_id order by batch, hour, hash) as k
+  from dealt left join largest on b = batch where batch = 0 or hour >= boundary
+), steps as (
+  select click_id, k, batch, hour as start_hour, hash as first_hash, hash, k as opener from events where k = 1
+  union all
+  select e.click_id, e.k, e.batch,
+         case when e.hour <= s.start_hour + 72 and (e.batch = 0 or s.start_hour + 72 >= m.boundary) then s.start_hour else e.hour end,
+         case when e.hour <= s.start_hour + 72 and (e.batch = 0 or s.start_hour + 72 >= m.boundary) then s.first_hash else e.hash end,
+         e.hash,
+         case when e.hour <= s.start_hour + 72 and (e.batch = 0 or s.start_hour + 72 >= m.boundary) then s.opener else e.k end
+  from steps s join events e on e.click_id = s.click_id and e.k = s.k + 1 left join largest m on m.b = e.batch
+), marked as (
+  select *, hash <> first_hash as conflict from steps
+), checked as (
+  select *, case when conflict then {_CRC.format(s="hash")} else 0 end as crc from marked, table_of
+), windows as (
+  select click_id, opener, any_value(start_hour) as start_hour, any_value(first_hash) as hash, min(batch) as opened, count(*) - 1 as n_repeats,
+         count(*) filter (conflict) as n_conflicts, sum(crc) as conflict_crc
+  from checked group by click_id, opener
+), followed as (
+  select *, lead(opened) over (partition by click_id order by opener) as next_batch from windows
+)
+select click_id, start_hour, cast(least(coalesce(next_batch, 11), coalesce((select min(b) - 1 from largest where boundary > start_hour + 72 and b < 12), 11)) as bigint) as closed_batch,
+       n_repeats, n_conflicts, cast(conflict_crc as bigint) as conflict_crc, hash
+from followed
+"""
+
+_FINITE = "embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0"
+
+NEAR_VECTORS = rf"""
+with recursive numbered as (
+  select row_number() over () as r, vec_id, embedding from embeddings
+), usable as (
+  select r, vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from numbered
+  where vec_id is not null and {_FINITE} and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), normed as (
+  select r, vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as norm from usable
+), links as (
+  select a.r as a, b.r as b, b.vec_id as other from normed a join normed b on a.r <> b.r and len(a.v) = len(b.v) where list_dot_product(a.v, b.v) >= 0.95 * a.norm * b.norm
+), reach as (
+  select a as r, b, other from links union select reach.r, links.b, links.other from reach join links on reach.b = links.a
+), least as (
+  select r, min(other) as other from reach group by r
+), counted as (
+  select a as r, count(*) as n from links group by a
+)
+select vec_id, coalesce(n, 0) as n_links, least(vec_id, other) as component_id, vec_id is not distinct from least(vec_id, other) as kept
+from numbered left join least using (r) left join counted using (r)
+"""
+
+
+def _lloyd(rounds: int = 2) -> str:
+    apart = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"near{i} as (select r, p, arg_min(e, d * 64 + e) as e, min(d) as d from (select r, p, e, {apart} as d from parts join books{i} using (p)) group by r, p)")
+        if i < rounds:
+            steps.append(
+                f"means{i} as (select p, e, list(m order by i) as c from (select p, e, i, cast(floor(sum(x[i]) / count(*)) as bigint) as m "
+                f"from parts join near{i} using (r, p), unnest(range(1, len(x) + 1)) u(i) group by p, e, i) group by p, e)"
+            )
+            steps.append(f"books{i + 1} as (select p, e, coalesce(m.c, b.c) as c from books{i} b left join means{i} m using (p, e))")
+    return f"""
+with kept as (
+  select row_number() over () as r, row_number() over (order by vec_id nulls last, embedding) - 1 as place, vec_id, label,
+         list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings where {_FINITE}
+), parts as (
+  select r, place, vec_id, p, v[p * len(v) // 16 + 1 : (p + 1) * len(v) // 16] as x from kept, range(16) q(p)
+), books0 as (
+  select p, place as e, x as c from parts where place < 64 and vec_id is not null
+), {", ".join(steps)}, coded as (
+  select r, string_agg(printf('%02x', e), '' order by p) as code, cast(sum(d) as bigint) as error from near{rounds} group by r
+), named as (
+  select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) as codebooks_sha256 from books{rounds}
+)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from kept join coded using (r), named
+"""
+
+
+HEAP_LLOYD = _lloyd()
