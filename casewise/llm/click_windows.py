@@ -37,13 +37,13 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from .common import free_name, materialize, shared_dir, table
+from .common import give_back, materialize, shared_dir, table
 
 SPAN, LATENESS, BATCHES = 72, 48, 12
 #: Windows of a bucket are kept in so many packed pages.
 PAGES = 8
 #: Copies that a bucket gets in a batch, about; and those that a task packs at once.
-BUCKET_COPIES, PACK_COPIES = 32_768, 400_000
+BUCKET_COPIES, PACK_COPIES = 32_768, 100_000
 LEAST_BUCKETS = 32
 #: Copies of a batch for one state partition, about; each keeps a store of its own, so small streams get few.
 PARTITION_COPIES = 50_000
@@ -64,6 +64,8 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": _ROCKS,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.minBatchesToRetain": "2",
     "spark.sql.maxConcurrentOutputFileWriters": "64",
@@ -151,6 +153,8 @@ def _packer(buckets: int):
                 waiting, n = [], 0
         if waiting:
             yield packed(*map(np.concatenate, zip(*waiting, strict=True)))
+        waiting = []
+        give_back()
 
     return pack
 
@@ -167,7 +171,7 @@ class ClickWindows(StatefulProcessor):
         self.wheel = handle.getMapState("wheel", "deadline long", "ids binary")
 
     def close(self) -> None:
-        pass
+        give_back()
 
     def _boundary(self, timers) -> int:
         """Windows whose deadline lies before this hour are over, and so are copies."""
