@@ -1,24 +1,32 @@
 """Metrics of scored rows (columns label int, score double) as relational plans.
 
-Scores are first counted by distinct value, so what is ordered is one row a score, not one a case.
+Scores are first counted by distinct value, so what is ordered is one row a score, not one a case; cumulative
+counts run over ranges of scores (``operators.ordered``), so no task holds them all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import exact_quantiles, prefix_sums
+
 
 def by_score(scored: DataFrame) -> DataFrame:
     return scored.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
 
 
+def _from_highest(scored: DataFrame) -> DataFrame:
+    """(score, p, n, tp, fp): counts at each distinct score and over all scores from it on upwards."""
+    placed = prefix_sums(by_score(scored), "score", ["p", "n"], descending=True)
+    return placed.select("score", "p", "n", (F.col("before_p") + F.col("p")).alias("tp"), (F.col("before_n") + F.col("n")).alias("fp"))
+
+
 def roc_points(scored: DataFrame) -> DataFrame:
     """(threshold, tp, fp, tpr, fpr) at each distinct score, highest first."""
-    counts = by_score(scored)
-    total = counts.agg(F.sum("p").alias("P"), F.sum("n").alias("__neg")).withColumnRenamed("P", "__pos")
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    points = counts.select("score", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp")).crossJoin(F.broadcast(total))  # with one row
+    rows = _from_highest(scored)
+    total = rows.agg(F.sum("p").alias("__pos"), F.sum("n").alias("__neg"))
+    points = rows.crossJoin(F.broadcast(total))  # with one row
     return points.select(
         F.col("score").alias("threshold"), "tp", "fp",
         F.coalesce(F.try_divide("tp", "__pos"), F.lit(0.0)).alias("tpr"), F.coalesce(F.try_divide("fp", "__neg"), F.lit(0.0)).alias("fpr"),
@@ -27,17 +35,14 @@ def roc_points(scored: DataFrame) -> DataFrame:
 
 def auc(scored: DataFrame) -> DataFrame:
     """(roc_auc): pairs ranked right, ties counting half; null without both labels."""
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = by_score(scored).withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    one = below.agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)).alias("u"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    below = prefix_sums(by_score(scored), "score", ["n"])
+    one = below.agg(F.sum(F.col("p") * (F.col("before_n") + F.col("n") / 2.0)).alias("u"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
     return one.select(F.try_divide("u", F.col("pos") * F.col("neg")).alias("roc_auc"))
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
     """(average_precision): precision at each distinct score times the recall gained there."""
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = by_score(scored).select("p", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"))
-    one = rows.agg(F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("s"), F.sum("p").alias("pos"))
+    one = _from_highest(scored).agg(F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("s"), F.sum("p").alias("pos"))
     return one.select(F.try_divide("s", "pos").alias("average_precision"))
 
 
@@ -74,7 +79,7 @@ def calibration_bins(scored: DataFrame, bins: int = 10) -> DataFrame:
     There are no more bins than distinct scores, and equal edges are merged; one score is one bin.
     """
     bins = max(1, min(bins, scored.select("score").distinct().limit(bins).count()))
-    edges = scored.agg(F.percentile("score", F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("e")).first().e  # bins + 1 numbers
+    edges = exact_quantiles(scored, "score", [i / bins for i in range(bins + 1)]).first().quantiles  # bins + 1 numbers
     edges = sorted(set(edges or []))
     place = F.lit(max(len(edges) - 1, 1))
     for i in range(len(edges) - 2, 0, -1):

@@ -8,11 +8,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import truth
 from ..operators.cases import CLASSES
+from ..operators.ordered import hash_ranks, least_by_hash
 from .metrics import all_metrics
 
 CATEGORICAL = ("age_group", "sex_clean", "quarter")
@@ -49,10 +50,10 @@ def split_summary(parts: dict[str, DataFrame]) -> DataFrame:
 
 def fixed_sample(frame: DataFrame, n: int | None, seed: int = 42) -> DataFrame:
     """``n`` rows in the order of a hash: the same rows however the frame is partitioned. None, 0 or less: all rows, as with no more than ``n``."""
-    if n is None or n <= 0 or frame.count() <= n:
+    if n is None or n <= 0:
         return frame
-    out = frame.orderBy(F.xxhash64("caseid", F.lit(seed)), "caseid").limit(n)
-    if out.where("label = 1").isEmpty():
+    out = least_by_hash(frame, n, "caseid", seed)
+    if out is not frame and out.where("label = 1").isEmpty():
         raise ValueError("the sample has no positive case")
     return out
 
@@ -122,9 +123,9 @@ def calibrated(scored: DataFrame, curve: tuple[float, float]) -> DataFrame:
 
 
 def folds(frame: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """Stratified fold numbers by rank of a hash within each label."""
-    place = Window.partitionBy("label").orderBy(F.xxhash64("caseid", F.lit(seed)), "caseid")
-    return frame.withColumn("fold", (F.row_number().over(place) - 1) % k)
+    """Stratified fold numbers by rank of a hash within each label; no task orders a whole label."""
+    ranked = hash_ranks(frame, "label", "caseid", seed, "__rank")
+    return ranked.withColumn("fold", (F.col("__rank") % k).cast("int")).drop("__rank")
 
 
 def cross_validate(frame: DataFrame, make, k: int = 5, seed: int = 42) -> pd.DataFrame:

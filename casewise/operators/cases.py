@@ -20,6 +20,8 @@ SUSPECT = (
 GROUPS = ("target_drug_group", "target_drug_group_ps")
 COUNTS = ("drug_n", "distinct_drug_n")
 BURDEN = ("is_zolpidem_any", "polypharmacy_5", "polypharmacy")
+#: The reports' own seriousness, while relations are joined.
+REPORTED = "__reported_serious"
 
 
 def drug_rows(drug: DataFrame, base: DataFrame) -> DataFrame:
@@ -106,6 +108,8 @@ def _filled(joined: DataFrame) -> DataFrame:
     """Post-join defaults: flags false, counts 0, lists empty, groups without a suspect drug."""
     fills = {}
     for name, kind in joined.dtypes:
+        if name == REPORTED:
+            continue
         if kind == "boolean":
             fills[name] = F.coalesce(F.col(name), F.lit(False))
         elif name in GROUPS:
@@ -121,9 +125,10 @@ def _filled(joined: DataFrame) -> DataFrame:
 
 def case_dataset(base: DataFrame, drugs: DataFrame, reactions: DataFrame, outcomes: DataFrame) -> DataFrame:
     """One row a case with all features; the child relations are unique on caseid by construction."""
-    joined = base.drop("serious").join(drugs.select("caseid", *CLASSES, *COUNTS, *BURDEN, *SUSPECT, *GROUPS), "caseid", "left")
+    stated = "serious" in base.columns
+    joined = (base.withColumnRenamed("serious", REPORTED) if stated else base).join(drugs.select("caseid", *CLASSES, *COUNTS, *BURDEN, *SUSPECT, *GROUPS), "caseid", "left")
     joined = joined.join(reactions, "caseid", "left").join(outcomes, "caseid", "left")
-    return _with_serious(_filled(joined), base)
+    return _with_serious(_filled(joined), stated)
 
 
 SIGNAL_COLUMNS = (
@@ -132,19 +137,22 @@ SIGNAL_COLUMNS = (
 )
 
 
-def _with_serious(cases: DataFrame, base: DataFrame) -> DataFrame:
-    """Seriousness as reported where the reports have any, else by outcome codes."""
-    if "serious" not in base.columns:
+def _with_serious(cases: DataFrame, stated: bool) -> DataFrame:
+    """Seriousness as reported (``REPORTED``), by outcome codes where no report of the relation states it."""
+    if not stated:
         return cases.withColumn("serious", F.col("is_serious_any"))
-    return cases.join(base.select("caseid", "serious"), "caseid", "left").withColumn("serious", truth("serious"))
+    any_stated = cases.agg((F.count(REPORTED) > 0).alias("__stated"))
+    both = cases.crossJoin(F.broadcast(any_stated))  # with one row
+    return both.withColumn("serious", F.when(F.col("__stated"), truth(REPORTED)).otherwise(F.col("is_serious_any"))).drop("__stated", REPORTED)
 
 
 def signal_dataset(base: DataFrame, drugs: DataFrame, reactions: DataFrame, outcomes: DataFrame) -> DataFrame:
-    joined = base.select("caseid", "age_group", "sex_clean", "year", "quarter")
+    stated = "serious" in base.columns
+    joined = base.select("caseid", "age_group", "sex_clean", "year", "quarter", *([F.col("serious").alias(REPORTED)] if stated else []))
     joined = joined.join(drugs.select("caseid", "is_zolpidem_any", *SUSPECT, *GROUPS), "caseid", "left")
     joined = joined.join(reactions.drop("all_reac_n"), "caseid", "left")
     joined = joined.join(outcomes.select("caseid", "is_serious_any"), "caseid", "left")
-    return _with_serious(_filled(joined), base).select(*SIGNAL_COLUMNS)
+    return _with_serious(_filled(joined), stated).select(*SIGNAL_COLUMNS)
 
 
 def repeated_keys(relation: DataFrame, keys: tuple[str, ...] = ("caseid",), show: int = 10) -> DataFrame:

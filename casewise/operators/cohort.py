@@ -60,9 +60,19 @@ def case_base(
     )
 
 
+def reports_of(base: DataFrame) -> DataFrame:
+    """(primaryid, __base): the case of each retained report; two cases of one report stop the job that reads this.
+
+    Child rows would be multiplied without it. The check is part of the plan and needs the exchange that the join on the
+    report needs anyway.
+    """
+    names = F.concat(F.lit("report "), F.col("primaryid").cast("string"), F.lit(" belongs to the cases "), F.min("caseid"), F.lit(" and "), F.max("caseid"))
+    own = F.when((F.count("*") > 1) & F.col("primaryid").isNotNull(), F.raise_error(names).cast("string")).otherwise(F.min("caseid"))
+    return base.groupBy("primaryid").agg(own.alias("__base"))
+
+
 def with_case_id(rows: DataFrame, base: DataFrame) -> DataFrame:
     """Child rows of retained reports, with empty case ids filled from their report: semi-join and look-up in one join."""
     own = rows.withColumn("__own", F.nullif(strip(F.col("caseid")), F.lit(""))).drop("caseid")
-    known = base.select("primaryid", F.col("caseid").alias("__base"))
-    joined = own.withColumn("primaryid", whole_number(F.col("primaryid"))).join(known, "primaryid")
+    joined = own.withColumn("primaryid", whole_number(F.col("primaryid"))).join(reports_of(base), "primaryid")
     return joined.withColumn("caseid", F.coalesce("__own", "__base")).drop("__own", "__base").where("caseid != ''")

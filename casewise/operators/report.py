@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, truth
+from .ordered import exact_quantiles
 
 
 def overview(cases: DataFrame) -> DataFrame:
@@ -35,26 +36,31 @@ KEY_COLUMNS = [
 
 
 def missingness(cases: DataFrame, columns: list[str]) -> DataFrame:
-    """Null or blank values by column; columns that the relation lacks are left out."""
+    """Nulls by column (an empty text or list is a value); columns that the relation lacks are left out.
+
+    So is ``serious`` if no report states it while seriousness by outcome codes is known.
+    """
     have = [c for c in columns if c in cases.columns]
-    long = _rows(cases.agg(*[F.count_if(is_blank(F.col(c))).alias(c) for c in have]), "variable", "n_missing")
-    total = cases.agg(F.count("*").alias("__n"))
-    share = F.coalesce(F.round(100.0 * F.col("n_missing") / F.nullif(F.col("__n"), F.lit(0)), 2), F.lit(0.0))
-    return long.crossJoin(F.broadcast(total)).select("variable", "n_missing", share.alias("percent"))  # with one row
+    known = [F.lit(True).alias("__stated")]
+    if "serious" in have and "is_serious_any" in cases.columns:
+        known = [((F.count("serious") > 0) | (F.count("is_serious_any") == 0)).alias("__stated")]
+    one = cases.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in have], F.count("*").alias("__n"), *known)
+    pairs = ", ".join(f"'{c}', `{c}`" for c in have)
+    long = one.selectExpr("__n", "__stated", f"stack({len(have)}, {pairs}) as (variable, n_missing)").where("variable != 'serious' or __stated")
+    return long.select("variable", "n_missing", F.coalesce(F.round(100.0 * F.col("n_missing") / F.nullif(F.col("__n"), F.lit(0)), 2), F.lit(0.0)).alias("percent"))
 
 
 def numeric_summary(cases: DataFrame, column: str = "age_years") -> DataFrame:
     c = F.col(column)
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return cases.agg(
-        F.count(c).alias("n"), F.round(F.avg(c), 2).alias("mean"), F.round(F.stddev_samp(c), 2).alias("sd"), F.round(q[1], 2).alias("median"),
-        F.round(q[0], 2).alias("p25"), F.round(q[2], 2).alias("p75"), F.round(F.min(c), 2).alias("min"), F.round(F.max(c), 2).alias("max"),
-    )
+    one = cases.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).alias("min"), F.max(c).alias("max"))
+    q = F.col("quantiles")
+    both = one.crossJoin(F.broadcast(exact_quantiles(cases, column, [0.25, 0.5, 0.75])))  # one row with one row
+    return both.select("n", *[F.round(v, 2).alias(name) for name, v in {"mean": F.col("mean"), "sd": F.col("sd"), "median": q[1], "p25": q[0], "p75": q[2], "min": F.col("min"), "max": F.col("max")}.items()])
 
 
 def distribution(cases: DataFrame, column: str, label: str = "missing") -> DataFrame:
     """Counts and percent of each level, missing ones under ``label``."""
-    level = F.coalesce(F.nullif(F.trim(F.col(column).cast("string")), F.lit("")), F.lit(label))
+    level = F.when(is_blank(F.col(column)), F.lit(label)).otherwise(F.trim(F.col(column).cast("string")))
     counts = cases.groupBy(level.alias("level")).agg(F.count("*").alias("n"))
     total = cases.agg(F.count("*").alias("__n"))
     return counts.crossJoin(F.broadcast(total)).select(F.lit(column).alias("variable"), "level", "n", F.round(100.0 * F.col("n") / F.col("__n"), 2).alias("percent"))

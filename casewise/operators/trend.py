@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -79,65 +80,103 @@ def crosstab(cases: DataFrame, exposure: str = "is_zolpidem_suspect", outcome: s
     return groups.join(counts, "age_group", "left").na.fill(0)
 
 
-def covariate_patterns(cases: DataFrame, outcome: str = "is_fall_narrow", exposure: str = "is_zolpidem_suspect") -> DataFrame:
-    """Distinct covariate rows of exposed cases with case and outcome counts: what the likelihood depends on.
+#: Flags that adjust the age trend (fixed values).
+COVARIATES = ("serious", "polypharmacy_5", "is_benzo", "is_antidepressant", "is_antipsychotic", "is_opioid", "is_antiepileptic")
 
-    Years are centred on the least year; rows are a few hundred at most (ages x sexes x years x flags).
+
+def trend_design(cases: DataFrame, outcome: str = "is_fall_narrow", exposure: str = "is_zolpidem_suspect") -> DataFrame:
+    """(covariates, y) of exposed cases with a known age group: its order, years since the first, sex, and flags (absent ones are constant)."""
+    order = F.when(F.col("age_group") == GROUPS[0], 0.0).when(F.col("age_group") == GROUPS[1], 1.0).when(F.col("age_group") == GROUPS[2], 2.0)
+    exposed = cases.where(truth(exposure)).withColumn("age_order", order).where("age_order is not null")
+    first = exposed.agg(F.min("year").alias("__first"))
+    sex = F.coalesce(F.col("sex_clean"), F.lit(""))
+    flags = [(truth(c) if c in cases.columns else F.lit(False)).cast("double").alias(c) for c in COVARIATES]
+    return exposed.crossJoin(F.broadcast(first)).select(  # with one row
+        "age_order", (F.col("year") - F.col("__first")).cast("double").alias("year_centered"), (sex == "M").cast("double").alias("sex_male"),
+        (~sex.isin("F", "M")).cast("double").alias("sex_unknown"), *flags, truth(outcome).cast("double").alias("y"),
+    )
+
+
+class Design:
+    """Sums over the rows of a logistic regression; covariates are any numbers, ``n`` rows stand behind each.
+
+    Equal rows are counted once and for all; each step is one aggregation of gradient, packed upper triangle of the Gram
+    matrix and log-likelihood over what is left, however much that is. Only these sums reach the driver.
     """
-    exposed = cases.where(truth(exposure))
-    first = exposed.agg(F.min("year").alias("y")).first().y or 0
-    columns = {
-        "age_75_84": (F.col("age_group") == "75-84").cast("double"), "age_85_plus": (F.col("age_group") == ">=85").cast("double"),
-        "female": (F.col("sex_clean") == "F").cast("double"), "year_centered": (F.col("year") - F.lit(first)).cast("double"),
-    }
-    for flag in ("serious", "polypharmacy_5"):
-        if flag in cases.columns:
-            columns[flag] = truth(flag).cast("double")
-    rows = exposed.select(*[c.alias(n) for n, c in columns.items()], truth(outcome).cast("long").alias("y"))
-    return rows.groupBy(*columns).agg(F.count("*").alias("n"), F.sum("y").alias("k"))
-
-
-def logistic_inference(patterns: DataFrame) -> list[dict]:
-    """Unpenalised logistic fit: coefficient, standard error, z, p, odds ratio with limits, diagnostics.
-
-    Newton steps on covariate patterns with a pseudo-inverse, so constant, collinear and separating
-    columns give finite, clipped results.
+
+    def __init__(self, rows: DataFrame, y: str = "y"):
+        names = [c for c in rows.columns if c != y]
+        spread = rows.agg(F.count("*").alias("n"), F.sum(y).alias("k"), *[F.struct(F.min(c).alias("low"), F.max(c).alias("high")).alias(c) for c in names]).first()
+        self.n, self.k = int(spread.n), int(spread.k or 0)
+        self.names = [c for c in names if self.n and spread[c].low != spread[c].high]
+        self.rows = rows.groupBy(*self.names).agg(F.count("*").cast("double").alias("__n"), F.sum(y).alias("__k")).persist()
+        self.width = len(self.names) + 1
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.rows.unpersist()
+
+    def sums(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Gradient, Gram matrix and log-likelihood at coefficients ``w`` (the first is the intercept)."""
+        x = [F.lit(1.0), *map(F.col, self.names)]
+        score = reduce(lambda a, b: a + b, [F.lit(float(b)) * c for b, c in zip(w, x, strict=True)])
+        at = self.rows.select("*", F.greatest(F.lit(-500.0), F.least(F.lit(500.0), score)).alias("__s"))
+        at = at.select("*", (1 / (1 + F.exp(-F.col("__s")))).alias("__p"))
+        bend, lean = F.col("__n") * F.col("__p") * (1 - F.col("__p")), F.col("__k") - F.col("__n") * F.col("__p")
+        fit = F.col("__k") * F.col("__s") - F.col("__n") * (F.greatest(F.col("__s"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("__s"))))
+        pairs = [(i, j) for i in range(self.width) for j in range(i, self.width)]
+        sums = [F.sum(lean * c) for c in x] + [F.sum(bend * x[i] * x[j]) for i, j in pairs] + [F.sum(fit)]
+        values = [float(v or 0.0) for v in at.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
+        gram = np.zeros((self.width, self.width))
+        for (i, j), v in zip(pairs, values[self.width :]):
+            gram[i, j] = gram[j, i] = v
+        return np.array(values[: self.width]), gram, values[-1]
+
+
+def logistic_inference(rows: DataFrame, y: str = "y", steps: int = 100) -> list[dict]:
+    """Unpenalised logistic fit of rows (covariates and ``y``): coefficient, standard error, z, p, odds ratio with limits, diagnostics.
+
+    Newton steps with a pseudo-inverse, halved while the likelihood falls, so constant columns (left out), collinear and
+    separating ones give finite, clipped results.
     """
-    table = patterns.toPandas()
-    names = [c for c in table.columns if c not in ("n", "k")]
-    if table.empty or table["n"].sum() == 0:
-        return []
-    names = [c for c in names if table[c].min() != table[c].max()]
-    x = np.column_stack([np.ones(len(table))] + [table[c].to_numpy(float) for c in names])
-    n, k = table["n"].to_numpy(float), table["k"].to_numpy(float)
-    w, converged, steps = np.zeros(x.shape[1]), False, 0
-    for steps in range(1, 101):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        step = np.linalg.pinv((x * (n * p * (1 - p))[:, None]).T @ x) @ (x.T @ (k - n * p))
-        w = np.clip(w + np.clip(step, -5, 5), -50, 50)
-        if np.abs(step).max() < 1e-10:
-            converged = True
-            break
-    p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-    se = np.sqrt(np.maximum(np.diag(np.linalg.pinv((x * (n * p * (1 - p))[:, None]).T @ x)), 0))
+    with Design(rows, y) as design:
+        if not design.n:
+            return []
+        w, taken, converged = np.zeros(design.width), 0, False
+        gradient, gram, fit = design.sums(w)
+        while taken < steps and not converged:
+            taken += 1
+            step = np.clip(np.linalg.pinv(gram) @ gradient, -5, 5)
+            for _ in range(30):
+                after = np.clip(w + step, -50, 50)
+                tried = design.sums(after)
+                if tried[2] >= fit - 1e-9 * (1 + abs(fit)):
+                    break
+                step = step / 2
+            converged = np.abs(after - w).max() < 1e-9
+            w, (gradient, gram, fit) = after, tried
+        se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(gram)), 0))
     out = []
-    for name, b, s in zip(["intercept", *names], w, se):
+    for name, b, s in zip(["intercept", *design.names], w, se, strict=True):
         z = b / s if s > 0 else 0.0
         low, high = (math.exp(min(max(b + d * 1.96 * s, -50), 50)) for d in (-1, 1))
         out.append(
             {
                 "term": name, "coefficient": float(b), "std_error": float(s), "z": float(z), "p_value": 2 * normal_sf(abs(z)),
                 "odds_ratio": math.exp(min(max(b, -50), 50)), "or_ci_low": low, "or_ci_high": high,
-                "n_cases": int(n.sum()), "n_outcome": int(k.sum()), "converged": converged, "iterations": steps,
+                "n_cases": design.n, "n_outcome": design.k, "converged": bool(converged), "iterations": taken,
+                "log_likelihood": fit, "gradient_largest": float(np.abs(gradient).max()),
             }
         )
     return out
 
 
-def age_trend_logistic(cases: DataFrame, outcome: str = "is_fall_narrow") -> DataFrame:
-    rows = logistic_inference(covariate_patterns(cases, outcome))
+def age_trend_logistic(cases: DataFrame, outcome: str = "is_fall_narrow", exposure: str = "is_zolpidem_suspect") -> DataFrame:
+    rows = logistic_inference(trend_design(cases, outcome, exposure))
     schema = (
-        "term string, coefficient double, std_error double, z double, p_value double, odds_ratio double, or_ci_low double, "
-        "or_ci_high double, n_cases long, n_outcome long, converged boolean, iterations long"
+        "term string, coefficient double, std_error double, z double, p_value double, odds_ratio double, or_ci_low double, or_ci_high double, "
+        "n_cases long, n_outcome long, converged boolean, iterations long, log_likelihood double, gradient_largest double"
     )
     return cases.sparkSession.createDataFrame([tuple(r.values()) for r in rows], schema)

@@ -86,7 +86,6 @@ def _no_burden(r: Relations) -> DataFrame:
 
 
 BOOLS = ["is_zolpidem_any", "is_zolpidem_suspect", "is_other_zdrug_suspect", "is_benzo", "is_antidepressant", "polypharmacy_5", "serious", "is_fall_narrow", "is_fall_broad"]
-CHECKED = ["caseid", "primaryid", "fda_dt", "age_years", "age_group", "sex_clean", "year", "quarter", "serious", "fall_pt_list"]
 EXPOSURES = ["is_zolpidem_any", "is_zolpidem_suspect", "is_zolpidem_suspect_ps"]
 OUTCOMES = ["is_fall_narrow", "is_fall_broad"]
 
@@ -292,9 +291,9 @@ CATALOGUE: dict[str, tuple[Callable, str | None]] = {
         "string_agg(distinct quarter, ',' order by quarter), cast(min(fda_dt) as varchar), cast(max(fda_dt) as varchar)]) as value from case_dataset",
     ),
     "report_missingness": (
-        _on_cases(lambda r: report.missingness(r.dataset, CHECKED)),
-        O.CASES + ", x as (" + _sum_rows(CHECKED, "select '{c}' as variable, count(*) filter ({c} is null or trim(cast({c} as varchar)) = '') as n_missing from case_dataset")
-        + ") select variable, n_missing, " + _PCT.format(n="n_missing") + " as percent from x",
+        _on_cases(lambda r: report.missingness(r.dataset, report.KEY_COLUMNS)),
+        O.CASES + ", x as (" + _sum_rows(report.KEY_COLUMNS, "select '{c}' as variable, count(*) filter ({c} is null) as n_missing from case_dataset")
+        + ") select variable, n_missing, " + _PCT.format(n="n_missing") + " as percent from x where variable <> 'serious' or (select count(serious) > 0 or count(is_serious_any) = 0 from case_dataset)",
     ),
     "report_age_summary": (
         _on_cases(lambda r: report.numeric_summary(r.dataset)),

@@ -1,9 +1,13 @@
 """Hand-made edge cases of cohort, drugs, reactions, outcomes and the period index."""
 
 import datetime as dt
+import math
+
+import numpy as np
+import pytest
 
 from casewise.functions.text import mentions, strip
-from casewise.operators import analyses, cases, cohort, periods, trend
+from casewise.operators import analyses, cases, cohort, periods, report, trend
 from casewise.plans.study import Z_DRUGS_AND_FALLS as SPEC
 from pyspark.sql import functions as F
 
@@ -110,6 +114,69 @@ def test_trend_of_nothing_is_defined(spark):
 
 
 def test_logistic_with_a_separating_column_is_finite(spark):
-    rows = [(1.0, 20, 20), (0.0, 20, 3)]
-    out = trend.logistic_inference(spark.createDataFrame(rows, "x double, n long, k long"))
+    rows = [(1.0, 1.0)] * 20 + [(0.0, 1.0)] * 3 + [(0.0, 0.0)] * 17
+    out = trend.logistic_inference(spark.createDataFrame(rows, "x double, y double"))
     assert [r["term"] for r in out] == ["intercept", "x"] and all(0 < r["odds_ratio"] < 1e23 for r in out)
+    assert trend.logistic_inference(spark.createDataFrame([], "x double, y double")) == []
+
+
+def test_logistic_inference_on_rows_matches_an_independent_solution(spark):
+    rng = np.random.default_rng(2)
+    n = 1_500
+    x = np.column_stack([rng.standard_normal(n), rng.integers(0, 3, n), rng.random(n) < 0.3, np.full(n, 4.0)]).astype(float)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(-1 + 0.8 * x[:, 0] - 0.4 * x[:, 1] + 0.9 * x[:, 2])))).astype(float)
+    frame = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y, strict=True)], "a double, b double, c double, same double, y double").repartition(4)
+    out = {r["term"]: r for r in trend.logistic_inference(frame)}
+    assert list(out) == ["intercept", "a", "b", "c"]
+    z, w = np.column_stack([np.ones(n), x[:, :3]]), np.zeros(4)
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-z @ w))
+        w += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z, z.T @ (y - p))
+    p = 1 / (1 + np.exp(-z @ w))
+    se = np.sqrt(np.diag(np.linalg.inv((z * (p * (1 - p))[:, None]).T @ z)))
+    for row, b, s in zip(out.values(), w, se, strict=True):
+        assert abs(row["coefficient"] - b) < 1e-7 and abs(row["std_error"] - s) < 1e-7
+        assert abs(row["p_value"] - math.erfc(abs(b / s) / math.sqrt(2))) < 1e-7
+        assert abs(math.log(row["or_ci_high"]) - (b + 1.96 * s)) < 1e-6
+    assert out["a"]["converged"] and abs(out["a"]["log_likelihood"] - (y * np.log(p) + (1 - y) * np.log(1 - p)).sum()) < 1e-6
+
+
+def test_trend_design_follows_age_order_and_sex(spark):
+    rows = [("1", "65-74", "M", 2020, True, True), ("2", ">=85", "F", 2022, True, False), ("3", "75-84", "unknown", 2021, True, None), ("4", "unknown", "M", 2019, True, True), ("5", "65-74", "M", 2018, False, True)]
+    cases_of = spark.createDataFrame(rows, "caseid string, age_group string, sex_clean string, year int, is_zolpidem_suspect boolean, is_fall_narrow boolean").withColumn("is_benzo", F.col("caseid") == "2")
+    got = sorted((r.age_order, r.year_centered, r.sex_male, r.sex_unknown, r.is_benzo, r.serious, r.y) for r in trend.trend_design(cases_of).collect())
+    assert got == [(0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0), (1.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0), (2.0, 2.0, 0.0, 0.0, 1.0, 0.0, 0.0)]
+
+
+def _star(spark, serious):
+    """Two cases, the first serious by its outcome codes, with a ``serious`` column of the reports if any."""
+    rows = [("1", 1, D(2024, 1, 1), 70.0, "65-74", "F", 2024, "Q1", "2024Q1", serious and serious[0]), ("2", 2, D(2024, 1, 1), 70.0, "65-74", "F", 2024, "Q1", "2024Q1", serious and serious[1])]
+    base = spark.createDataFrame(rows, "caseid string, primaryid long, fda_dt date, age_years double, age_group string, sex_clean string, year int, quarter string, year_quarter string, serious boolean")
+    base = base.drop("serious") if serious is None else base
+    drug = spark.createDataFrame([(1, "", "X", "X", "PS")], "primaryid long, caseid string, drugname string, prod_ai string, role_cod string")
+    reac = spark.createDataFrame([(1, "", "FALL")], "primaryid long, caseid string, pt string")
+    outc = spark.createDataFrame([(1, "", "DE")], "primaryid long, caseid string, outc_cod string")
+    return base, cases.drug_cases(cases.drug_rows(drug, base), SPEC), cases.reaction_cases(reac, base, SPEC), cases.outcome_cases(cases.outcome_tokens(outc, base), SPEC)
+
+
+def test_seriousness_is_reported_or_else_by_codes(spark):
+    for stated, want in ((None, [True, False]), ([None, None], [True, False]), ([None, True], [False, True]), ([False, None], [False, False])):
+        parts = _star(spark, stated)
+        for build in (cases.case_dataset, cases.signal_dataset):
+            got = build(*parts)
+            assert [r.serious for r in got.orderBy("caseid").collect()] == want and "__reported_serious" not in got.columns
+
+
+def test_missing_values_are_nulls_and_unstated_seriousness_is_left_out(spark):
+    rows = [("1", "", None, True), ("2", "FALL", None, False), (None, "", None, True)]
+    frame = spark.createDataFrame(rows, "caseid string, fall_pt_list string, serious boolean, is_serious_any boolean")
+    assert {r.variable: (r.n_missing, r.percent) for r in report.missingness(frame, report.KEY_COLUMNS).collect()} == {"caseid": (1, 33.33), "fall_pt_list": (0, 0.0), "is_serious_any": (0, 0.0)}
+    assert {r.variable: r.n_missing for r in report.missingness(frame.drop("is_serious_any"), report.KEY_COLUMNS).collect()} == {"caseid": 1, "fall_pt_list": 0, "serious": 3}
+
+
+def test_a_report_of_two_cases_stops_the_job(spark):
+    base = spark.createDataFrame([("1", 7), ("2", 7), ("3", 8), ("4", None), ("5", None)], "caseid string, primaryid long")
+    reac = spark.createDataFrame([(7, "", "FALL"), (8, "", "FALL")], "primaryid long, caseid string, pt string")
+    with pytest.raises(Exception, match="report 7 belongs to the cases 1 and 2"):
+        cases.reaction_cases(reac, base, SPEC).collect()
+    assert cases.reaction_cases(reac, base.where("caseid > '2'"), SPEC).first().caseid == "3"
