@@ -85,7 +85,7 @@ def run_model(spark: SparkSession, a: argparse.Namespace) -> None:
     train = models.balanced_weights(models.fixed_sample(parts["train"], a.train_sample_n, a.random_state)).cache()
     make = {
         "logistic": models.logistic,
-        "forest": lambda _: models.forest(a.n_estimators or 300, a.max_depth or 20, a.random_state),
+        "forest": lambda _: models.forest(a.n_estimators or 300, a.max_depth, a.random_state),
         "boosted": lambda _: models.boosted(a.n_estimators or 400, a.max_depth or 5, a.learning_rate, a.random_state),
     }[a.kind]
     folder = sinks.run_folder(Path(a.output) / "models", a.kind)
@@ -101,7 +101,7 @@ def run_model(spark: SparkSession, a: argparse.Namespace) -> None:
     sinks.write_csv(metrics.calibration_bins(test), folder / "calibration.csv")
     sinks.write_csv(models.bootstrap(test, a.bootstrap_iterations, a.random_state, threshold), folder / "bootstrap.csv")
     test.write.mode("overwrite").parquet(str(folder / "predictions"))
-    model.write().overwrite().save(str(folder / "pipeline"))
+    models.save(model, spark, str(folder / "pipeline"))
     sinks.write_csv(spark.createDataFrame(models.feature_table(model, train), "feature string, value double"), folder / "features.csv")
 
 

@@ -1,20 +1,21 @@
-"""Modelling frame, temporal split, MLlib pipelines, calibration, cross-validation and bootstrap."""
+"""Modelling frame, temporal split, logistic pipeline and trees, calibration, cross-validation and bootstrap."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import truth
 from ..operators.cases import CLASSES
 from ..operators.ordered import hash_ranks, least_by_hash
 from .metrics import all_metrics
+from .trees import Boosted, Forest, TreeModel
 
 CATEGORICAL = ("age_group", "sex_clean", "quarter")
 NUMERIC = ("year", "drug_n", "distinct_drug_n")
@@ -64,14 +65,15 @@ def balanced_weights(frame: DataFrame) -> DataFrame:
     return frame.withColumn("weight", F.when(F.col("label") == 1, n / (2 * max(p, 1))).otherwise(n / (2 * max(n - p, 1))))
 
 
-def feature_stages() -> list:
-    """Categories one-hot with unseen levels as all zeros, numbers standardised, flags as they are."""
+def feature_stages(train: DataFrame) -> list:
+    """Categories one-hot with unseen levels as all zeros, numbers by mean and population deviation of ``train``, flags as they are."""
     index = StringIndexer(inputCols=list(CATEGORICAL), outputCols=[f"{c}_i" for c in CATEGORICAL], handleInvalid="keep", stringOrderType="alphabetAsc")
     hot = OneHotEncoder(inputCols=[f"{c}_i" for c in CATEGORICAL], outputCols=[f"{c}_v" for c in CATEGORICAL], dropLast=True)
-    numbers = VectorAssembler(inputCols=list(NUMERIC), outputCol="numbers")
-    scaled = StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True)
-    whole = VectorAssembler(inputCols=[*[f"{c}_v" for c in CATEGORICAL], "scaled", *FLAGS], outputCol="features")
-    return [index, hot, numbers, scaled, whole]
+    one = train.agg(*[F.avg(c).alias(f"m_{c}") for c in NUMERIC], *[F.stddev_pop(c).alias(f"s_{c}") for c in NUMERIC]).first()
+    numbers = ", ".join(f"(`{c}` - {one[f'm_{c}'] or 0.0!r}D) / {one[f's_{c}'] or 1.0!r}D AS `{c}_s`" for c in NUMERIC)  # a constant becomes 0
+    scaled = SQLTransformer(statement=f"SELECT *, {numbers} FROM __THIS__")
+    whole = VectorAssembler(inputCols=[*[f"{c}_v" for c in CATEGORICAL], *[f"{c}_s" for c in NUMERIC], *FLAGS], outputCol="features")
+    return [index, hot, scaled, whole]
 
 
 def logistic(train: DataFrame, max_iter: int = 2500, c: float = 1.0) -> LogisticRegression:
@@ -80,29 +82,41 @@ def logistic(train: DataFrame, max_iter: int = 2500, c: float = 1.0) -> Logistic
     return LogisticRegression(weightCol="weight", maxIter=max_iter, regParam=1 / (c * total), elasticNetParam=0.0, standardization=False)
 
 
-def forest(trees: int = 300, depth: int = 20, seed: int = 42) -> RandomForestClassifier:
-    return RandomForestClassifier(weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=10, seed=seed)
+def forest(trees: int = 300, depth: int | None = None, seed: int = 42) -> Forest:
+    return Forest(trees=trees, depth=depth, seed=seed)
 
 
-def boosted(rounds: int = 400, depth: int = 5, rate: float = 0.05, seed: int = 42) -> GBTClassifier:
-    return GBTClassifier(weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=5, seed=seed)
+def boosted(rounds: int = 400, depth: int = 5, rate: float = 0.05, seed: int = 42) -> Boosted:
+    return Boosted(rounds=rounds, depth=depth, rate=rate, seed=seed)
 
 
-def fit(train: DataFrame, estimator) -> PipelineModel:
-    return Pipeline(stages=[*feature_stages(), estimator]).fit(train)
+def fit(train: DataFrame, estimator) -> PipelineModel | TreeModel:
+    """A fitted model; trees weigh classes by their own rules, so they leave out the column of weights."""
+    if isinstance(estimator, Boosted | Forest):
+        return estimator.fit(train, CATEGORICAL, NUMERIC, FLAGS)
+    return Pipeline(stages=[*feature_stages(train), estimator]).fit(train)
 
 
-def scores(model: PipelineModel, frame: DataFrame) -> DataFrame:
+def scores(model: PipelineModel | TreeModel, frame: DataFrame) -> DataFrame:
+    if isinstance(model, TreeModel):
+        return model.scores(frame)
     return model.transform(frame).select("caseid", "label", vector_to_array("probability")[1].alias("score"))
 
 
-def feature_table(model: PipelineModel, sample: DataFrame) -> list[tuple[str, float]]:
+def feature_table(model: PipelineModel | TreeModel, sample: DataFrame) -> list[tuple[str, float]]:
     """Names with coefficients or importances, largest in size first."""
+    if isinstance(model, TreeModel):
+        return model.feature_table()
     meta = model.transform(sample.limit(1)).schema["features"].metadata["ml_attr"]["attrs"]
     names = {a["idx"]: a["name"] for kind in meta.values() for a in kind}
-    last = model.stages[-1]
-    values = last.coefficients.toArray() if hasattr(last, "coefficients") else last.featureImportances.toArray()
-    return sorted(((names[i], float(v)) for i, v in enumerate(values)), key=lambda t: (-abs(t[1]), t[0]))
+    return sorted(((names[i], float(v)) for i, v in enumerate(model.stages[-1].coefficients.toArray())), key=lambda t: (-abs(t[1]), t[0]))
+
+
+def save(model: PipelineModel | TreeModel, spark: SparkSession, folder: str) -> None:
+    if isinstance(model, TreeModel):
+        model.save(spark, folder)
+    else:
+        model.write().overwrite().save(folder)
 
 
 def calibrator(valid: DataFrame) -> tuple[float, float]:

@@ -366,6 +366,12 @@ def _forecast(r: Relations) -> DataFrame:
     return models.scores(models.fit(train, models.logistic(train, 100)), frame.where("year > 1999"))
 
 
+def _tree_forecast(estimator: Callable, r: Relations) -> DataFrame:
+    """Trees of the earlier years on the last year; rows-only, tests compare with brute force."""
+    frame = _frame(r)
+    return models.scores(models.fit(frame.where("year <= 1999"), estimator()), frame.where("year > 1999"))
+
+
 CATALOGUE |= {
     "modelling_frame": (_on_cases(_frame), _FRAME + " select * from frame"),
     "temporal_split_summary": (
@@ -406,6 +412,8 @@ CATALOGUE |= {
         "on (score > lo and score <= hi) or (bin = 1 and score <= hi) where bin >= 1 group by bin",
     ),
     "logistic_forecast": (_on_cases(_forecast), None),
+    "boosted_forecast": (_on_cases(partial(_tree_forecast, lambda: models.boosted(8, 3, 0.3))), None),
+    "forest_forecast": (_on_cases(partial(_tree_forecast, lambda: models.forest(10, 6))), None),
 }
 
 

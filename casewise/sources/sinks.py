@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from datetime import datetime
 from pathlib import Path
 
@@ -47,6 +48,20 @@ def write_text(text: str, path: str | Path) -> None:
     Path(path).write_text(text, encoding="utf-8")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only if it is unset and Spark runs in one process."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        return own.get()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="casewise-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def run_folder(root: str | Path, name: str) -> Path:
     path = Path(root) / f"{name}_{datetime.now():%Y%m%d_%H%M%S}"
     path.mkdir(parents=True, exist_ok=True)
