@@ -269,10 +269,68 @@ def test_quality_stage_rejects_a_document_for_its_own_symbols_or_lines(spark):
     assert kept == [0, 1, 4, 5, 8, 9, 12, 13]
 
 
+def shingles_of(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()}
+
+
+def survivors(rows):
+    """Rows (id, text, others ...) that the near-duplicate stage keeps."""
+    groups, stay = [], [r for r in rows if r[0] is None or not shingles_of(r[1])]
+    for row in {r[:2] for r in rows} - {r[:2] for r in stay}:
+        own = shingles_of(row[1])
+        near = [g for g in groups if any(100 * len(own & s) >= 75 * len(own | s) for _, s in g)]
+        groups = [g for g in groups if g not in near] + [[(row, own), *(x for g in near for x in g)]]
+    for group in groups:
+        least = min(row[0] for row, _ in group)
+        (chosen,) = {row for row, _ in group if row[0] == least}  # the fixtures below hold one text of the least id a group
+        stay.append(min((r for r in rows if r[:2] == chosen), key=lambda r: str(r)))
+    return Counter(stay)
+
+
 def test_near_duplicate_stage_keeps_different_texts_of_one_id(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
-    rows = [(1, a), (1, b), (1, a), (2, a + " more"), (3, b + " more"), (5, a), (5, c), (7, d), (6, d), (None, a), (1, ""), (1, None)]
-    docs = spark.createDataFrame([(*r, k % 3) for k, r in enumerate(rows)], "doc_id long, text string, n_chars long").repartition(3)
-    kept = Counter((r.doc_id, r.text) for r in pipeline.near_duplicate_stage(spark, docs, "").collect())
-    assert kept == Counter([(1, a), (1, b), (5, c), (6, d), (None, a), (1, ""), (1, None)])
+    rows = [(1, a), (1, b), (1, a), (2, a + " more"), (3, b + " more"), (5, a), (5, c), (7, d), (6, d), (None, a), (None, a), (1, ""), (1, None)]
+    rows = [(*r, "en", k % 3) for k, r in enumerate(rows)] + [(5, None, "en", 1), (5, None, "fr", 1), (5, None, "fr", 1), (9, " \n", "en", 1), (9, " \n", "en", 1), (6, d, "de", 7), (6, d, "de", 3)]
+    for turn in range(2):
+        random.Random(turn).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").repartition(3 + turn)
+        kept = Counter(tuple(r) for r in pipeline.near_duplicate_stage(spark, docs, "").collect())
+        assert kept == survivors(rows)
+
+
+def test_pipeline_runs_over_odd_rows_and_nothing(spark, tmp_path):
+    """``run`` over null, empty, toxic, poor, repeated and very long rows, against its stages taken one by one."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    fine = [prose(90) for _ in range(12)]
+    rows = [(i, t, "en", f"h{i % 3}", len(t)) for i, t in enumerate(fine)]
+    rows += [(50, fine[0] + " tail", "en", "h0", 1), (51, None, "en", "h0", 0), (51, None, "fr", "h1", 0), (52, "", None, None, 0), (3, fine[3], "de", "h9", 2), (53, "too short", "en", "h1", 9)]
+    rows += [(54, prose(100) + " mail me at some.one@example.org now", "en", "h2", 0), (55, prose(20_000), "en", "h2", 0), (None, prose(80), "en", None, 0)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = pipeline.run(spark, str(tmp_path))
+    own = {r.doc_id: r.doc_tokens for r in got.collect()}
+    want = survivors([r for r in rows if r[0] not in (51, 52, 53)])  # the last three fail the quality rules
+    assert set(own) == {r[0] for r in want} and 50 not in own
+    from tokenizers import Tokenizer
+
+    import public_tokenizers as public
+
+    coder = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    for r in want:
+        if r[0] not in (54, None):
+            assert own[r[0]] == len(coder.encode(r[1], add_special_tokens=False).ids) + 1
+    pieces = {}
+    for r in got.collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+    for key, parts in pieces.items():
+        if key is not None:
+            assert [s for s, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))] and sum(n for _, n in parts) == own[key]
+    empty = tmp_path / "empty"
+    documents.limit(0).write.parquet(str(empty / "documents.parquet"))
+    spark.read.parquet(str(tmp_path / "labels.parquet")).write.parquet(str(empty / "labels.parquet"))
+    assert pipeline.run(spark, str(empty)).count() == 0
