@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from .functions.signal import full_measures
 from .operators import analyses, cases, cohort, periods, report, trend
 from .plans.study import Z_DRUGS_AND_FALLS, StudySpec
-from .sources import sinks
+from .sources import sinks, store
 from .sources.order_tables import Reports
 from .sources.quarter_files import quarter_reports
 
 QUARTERS = ("Q1", "Q2", "Q3", "Q4")
 DATASETS = ("case_base", "drug", "drug_feature", "drug_exposure", "reac_case", "outc_case", "case_dataset", "signal_dataset")
+#: Columns of the file of trends (fixed values).
 TREND_COLUMNS = [
-    "year", "analysis", "outcome_name", "conclusion", "a", "b", "c", "d", "n", "ror", "ror_ci_low", "ror_ci_high", "prr", "prr_ci_low", "prr_ci_high",
+    "year", "analysis", "outcome_name", "outcome_definition", "conclusion", "a", "b", "c", "d", "n", "ror", "ror_ci_low", "ror_ci_high", "prr", "prr_ci_low", "prr_ci_high",
     "ic", "ic025", "ic975", "ebgm", "eb05", "eb95", "chi_square_yates", "expected_a", "signal_flag_mhra", "signal_flag_ror", "signal_flag_ic", "signal_flag_ebgm",
 ]
 
@@ -41,14 +42,14 @@ def process_quarter(spark: SparkSession, raw: str, output: str, year: int, quart
     return {name: sinks.write_dataset(relations[name], output, name) for name in tables}
 
 
-def is_complete(output: str, year: int, quarter: str, name: str = "signal_dataset") -> bool:
-    return any(Path(output, name, f"year={year}", f"quarter={quarter}").glob("*.parquet"))
+def is_complete(spark: SparkSession, output: str, year: int, quarter: str, name: str = "signal_dataset") -> bool:
+    return bool(store.files_below(spark, f"{output}/{name}/year={year}/quarter={quarter}", ".parquet"))
 
 
 def process_year(spark: SparkSession, raw: str, output: str, year: int, force: bool = False, spec: StudySpec = Z_DRUGS_AND_FALLS) -> dict[str, DataFrame]:
     """Quarters that are not there yet, then the year's analyses; a year is a partition filter, not a copy."""
     for quarter in QUARTERS:
-        if force or not is_complete(output, year, quarter):
+        if force or not is_complete(spark, output, year, quarter):
             process_quarter(spark, raw, output, year, quarter, spec=spec)
     results = analyse(spark, sinks.read_dataset(spark, output, "signal_dataset", year), sinks.read_dataset(spark, output, "case_dataset", year), spec)
     folder = Path(output) / "analysis" / str(year)
@@ -97,6 +98,8 @@ def year_summary(year: int, results: dict[str, DataFrame], top: int = 5) -> str:
 def trend_row(year: int, results: DataFrame) -> DataFrame:
     """A year's overall rows in the columns of the trend file; absent columns become null."""
     rows = results.where("stratum = 'overall'").withColumn("year", F.lit(year))
+    if "outcome_definition" not in rows.columns:
+        rows = rows.withColumn("outcome_definition", F.when(F.col("outcome_name") == "broad_fall", "Broad fall definition").otherwise("Narrow fall definition"))
     for name in TREND_COLUMNS:
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None))

@@ -9,9 +9,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import batch
-from .operators import cases
+from .operators import cases, periods
 from .plans.study import Z_DRUGS_AND_FALLS
-from .sources import quarter_files, sinks
+from .sources import census, quarter_files, sinks
 
 #: Training rows of each kind of model unless --train-sample-n is given.
 TRAIN_SAMPLE_N = {"logistic": 400_000, "forest": 200_000, "boosted": 300_000}
@@ -50,27 +50,30 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     spark = spark or SparkSession.builder.appName("casewise").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "quarter":
         tables = batch.DATASETS if a.table == "all" else (a.table,)
-        batch.process_quarter(spark, str(quarter_files.raw_root(a.raw_root)), a.output, a.year, a.quarter, tables)
+        batch.process_quarter(spark, quarter_files.raw_root(spark, a.raw_root), a.output, a.year, a.quarter, tables)
     elif a.command == "years":
-        batch.process_years(spark, str(quarter_files.raw_root(a.raw_root)), a.output, a.start_year, a.end_year, a.force)
+        batch.process_years(spark, quarter_files.raw_root(spark, a.raw_root), a.output, a.start_year, a.end_year, a.force)
     elif a.command == "period":
         batch.build_period(spark, a.output, a.start_year, a.end_year)
     elif a.command == "analyse":
         signals, features = (spark.read.parquet(p) for p in sinks.one_pair(f"{a.output}/period", a.period_token))
-        dataset = signals.join(features.drop("is_zolpidem_any", "year", "quarter", "year_quarter"), "caseid", "left")
+        dataset = periods.with_features(signals, features)
         for name, table in batch.analyse(spark, signals, dataset, Z_DRUGS_AND_FALLS).items():
             sinks.write_csv(table, Path(a.output) / "period" / f"{name}.csv")
     elif a.command == "terms":
-        reports = quarter_files.quarter_reports(spark, quarter_files.raw_root(a.raw_root), a.year, a.quarter)
+        reports = quarter_files.quarter_reports(spark, quarter_files.raw_root(spark, a.raw_root), a.year, a.quarter)
         relations = batch.quarter_relations(reports, a.year, a.quarter)
         profile = cases.term_profile(reports.reac, relations["case_base"], relations["drug_exposure"], a.scope == "ps", a.top_n)
         sinks.write_csv(profile, Path(a.output) / f"terms_{a.year}{a.quarter}_{a.scope}.csv")
     elif a.command == "report":
         batch.descriptive_report(spark.read.parquet(a.case_file), a.output)
     elif a.command == "scan":
-        files = quarter_files.scan_structure(quarter_files.raw_root(a.raw_root))
-        sinks.write_json({"files": files}, Path(a.output) / "structure.json")
-        sinks.write_csv(quarter_files.structure_summary(spark, files).orderBy("dataset_family", "year"), Path(a.output) / "structure.csv")
+        files = census.scan_files(census.header_lines(spark, quarter_files.raw_root(spark, a.raw_root))).cache()
+        tables = {"files": files.drop("columns"), "columns": census.column_rows(files), "counters": census.counters(files), "variants": census.variants(files), "changes": census.changes(files)}
+        for name, table in tables.items():
+            sinks.write_csv(table.orderBy(*table.columns[:3]), Path(a.output) / f"structure_{name}.csv")
+        sinks.write_json({name: [r.asDict() for r in table.collect()] for name, table in tables.items() if name != "columns"}, Path(a.output) / "structure.json")
+        files.unpersist()
     else:
         if a.train_sample_n is None:
             a.train_sample_n = TRAIN_SAMPLE_N[a.kind]

@@ -32,16 +32,11 @@ def report_date(c: Column) -> Column:
     return F.try_to_date(strip(c), "yyyyMMdd")
 
 
-def boundary_pattern(terms) -> str:
-    """Any of ``terms`` not inside a longer run of letters or digits; at one place the longest term wins."""
-    inside = "[A-Z0-9]"
-    options = "|".join(re.escape(t) for t in sorted(set(terms), key=len, reverse=True))
-    return f"(?<!{inside})(?:{options})(?!{inside})"
-
-
 def mentions(name: Column, ingredient: Column, terms) -> Column:
-    pattern = boundary_pattern(terms)
-    return name.rlike(pattern) | ingredient.rlike(pattern)
+    """Whether either text names one of ``terms`` by itself: what stands next to it is no letter or digit, or nothing."""
+    aside = "[^A-Z0-9]"
+    own = f"(^|{aside})({'|'.join(re.escape(t) for t in sorted(terms))})({aside}|$)"
+    return name.rlike(own) | ingredient.rlike(own)
 
 
 def truth(c: Column | str) -> Column:

@@ -30,6 +30,18 @@ def features_of_period(index: DataFrame, features: DataFrame) -> DataFrame:
     return features.join(index.select("caseid", "year_quarter"), ["caseid", "year_quarter"])
 
 
+def with_features(signals: DataFrame, features: DataFrame) -> DataFrame:
+    """Signal rows with the features of the same case and period; a row without any keeps nulls, which count as false.
+
+    The period is the report's quarter, and the name of the period (``dataset_period``) where several are read together.
+    """
+    if "year_quarter" not in signals.columns:
+        signals = signals.withColumn("year_quarter", F.concat(F.col("year").cast("int").cast("string"), F.upper(strip(F.col("quarter")))))
+    keys = ["caseid", *[c for c in ("year_quarter", "dataset_period") if c in signals.columns and c in features.columns]]
+    own = [c for c in features.columns if c in keys or c not in signals.columns]
+    return signals.join(features.select(*own), keys, "left")
+
+
 def table_counts(**tables: DataFrame) -> DataFrame:
     rows = [df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows") for name, df in tables.items()]
     out = rows[0]

@@ -180,3 +180,11 @@ def test_a_report_of_two_cases_stops_the_job(spark):
     with pytest.raises(Exception, match="report 7 belongs to the cases 1 and 2"):
         cases.reaction_cases(reac, base, SPEC).collect()
     assert cases.reaction_cases(reac, base.where("caseid > '2'"), SPEC).first().caseid == "3"
+
+
+def test_features_meet_their_own_case_and_period(spark):
+    signals = spark.createDataFrame([("1", 2020, "Q1", True), ("1", 2021, "q2", False), ("2", 2020, "Q1", True)], "caseid string, year int, quarter string, is_zolpidem_any boolean")
+    features = spark.createDataFrame([("1", "2020Q1", False, 3), ("1", "2021Q2", True, 5), ("2", "2021Q2", True, 7)], "caseid string, year_quarter string, is_zolpidem_any boolean, drug_n long")
+    got = {(r.caseid, r.year): (r.drug_n, r.is_zolpidem_any) for r in periods.with_features(signals, features).collect()}
+    assert got == {("1", 2020): (3, True), ("1", 2021): (5, False), ("2", 2020): (None, True)}
+    assert periods.with_features(signals, features.drop("year_quarter").where("drug_n = 7")).count() == 3

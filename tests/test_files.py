@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from casewise import batch, cli
+from casewise.sources import census, sinks
 from casewise.sources import quarter_files as q
-from casewise.sources import sinks
 
 
 def write(path, text):
@@ -66,7 +66,7 @@ def test_year_and_period_end_to_end(spark, tmp_path):
     result = spark.read.option("header", True).csv(f"{out}/analysis/2024/01_signal_analysis_results.csv")
     overall = {(r.analysis, r.outcome_name): int(r.n) for r in result.where("stratum = 'overall'").collect()}
     assert overall[("main_ps_ss", "strict_fall")] == 96
-    assert batch.is_complete(out, 2024, "Q1")
+    assert batch.is_complete(spark, out, 2024, "Q1")
     cli.main(["period", "--output", out], spark)
     assert spark.read.parquet(f"{out}/period/signal_dataset_2004_2025").count() == 24
     cli.main(["analyse", "--output", out], spark)
@@ -74,8 +74,10 @@ def test_year_and_period_end_to_end(spark, tmp_path):
     cli.main(["terms", "--raw-root", str(raw), "--output", out, "--year", "2024", "--quarter", "Q1"], spark)
     tables = batch.descriptive_report(dataset, f"{out}/report")
     assert len(tables) == 13
-    files = q.scan_structure(raw)
+    files = census.scan_files(census.header_lines(spark, str(raw))).collect()
     assert len(files) == 20 and {f["dataset_family"] for f in files} == {"DEMO", "DRUG", "REAC", "OUTC", "OTHER"}
+    trend = spark.read.option("header", True).csv(f"{out}/analysis/trend_2024_2024.csv")
+    assert len(trend.columns) == 28 and {r.outcome_definition for r in trend.collect()} == {"Narrow fall definition", "Broad fall definition"}
 
 
 def test_pairs_of_datasets(tmp_path):
@@ -110,4 +112,49 @@ def test_deleted_cases_are_found_in_a_folder_of_any_case(spark, tmp_path):
     write(tmp_path / "2024" / "q1" / "Deleted" / "d.txt", "12\n")
     assert [r.caseid for r in q.deleted_cases(spark, tmp_path, 2024, "Q1").collect()] == ["12"]
     with pytest.raises(ValueError, match="2004"):
-        q.quarter_file(tmp_path, 1999, "Q1", "DEMO")
+        q.quarter_file(spark, str(tmp_path), 1999, "Q1", "DEMO")
+
+
+def test_reports_below_a_data_folder_and_by_uri(spark, tmp_path):
+    quarter(tmp_path / "data", 2020, "q2")
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        found = q.raw_root(spark, root)
+        assert found == f"{root}/data" and q.quarter_file(spark, found, 2020, "Q2", "DRUG").endswith("/2020/q2/ascii/DRUG20q2.txt")
+        reports = q.quarter_reports(spark, found, 2020, "Q2")
+        assert reports.demo.count() == 25 and [r.caseid for r in reports.deleted.collect()] == ["900"]
+    assert q.raw_root(spark, f"{tmp_path}/data") == f"{tmp_path}/data" and q.raw_root(spark, "/absent") == "/absent"
+    with pytest.raises(FileNotFoundError):
+        q.quarter_reports(spark, str(tmp_path / "data"), 2021, "Q2")
+
+
+def test_a_file_is_searched_for_broken_lines_once(spark, tmp_path, monkeypatch):
+    path = write(tmp_path / "R.txt", "primaryid$caseid$pt\n1$2$A$x$y$z\n3$4$B\n5$6$C$7$8$D$9$10$E\n")
+    first = values(q.read_table(spark, path, "reac"), "primaryid", "pt")
+    monkeypatch.setattr(q, "needs_repair", lambda *_: pytest.fail("searched again"))
+    assert values(q.read_table(spark, path, "reac"), "primaryid", "pt") == first and ("9", "E") in first
+    write(tmp_path / "R.txt", "primaryid$caseid$pt\n1$2$A\n")
+    with pytest.raises(BaseException, match="searched again"):
+        q.read_table(spark, path, "reac")
+
+
+def test_structure_of_odd_headers(spark, tmp_path):
+    write(tmp_path / "2004" / "Q1" / "ascii" / "DEMO04Q1.txt", "\u00ef\u00bb\u00bfISR$Case$Age\n1$2$3\n")
+    write(tmp_path / "2005" / "Q1" / "ascii" / "DEMO05Q1.TXT", "isr$age$sex\r\n")
+    write(tmp_path / "2005" / "q2" / "Ascii" / "drug.txt", "a,b\tc\td,e\n")
+    write(tmp_path / "2005" / "Q3" / "Deleted" / "x_deleted.txt", "123\n")
+    write(tmp_path / "2005" / "Q4" / "note.txt", "")
+    write(tmp_path / "2005" / "other" / "DEMO.txt", "a$b\n")
+    write(tmp_path / "top.txt", "a$b\n")
+    files = census.scan_files(census.header_lines(spark, str(tmp_path))).cache()
+    got = {r.relative_path: (r.year, r.quarter, r.dataset_family, r.folder_variant, r.delimiter, r.column_count, r.header_issue, r.header_signature) for r in files.collect()}
+    assert got == {
+        "2004/Q1/ascii/DEMO04Q1.txt": (2004, "Q1", "DEMO", "ascii", "$", 3, "", "isr|case|age"), "2005/Q1/ascii/DEMO05Q1.TXT": (2005, "Q1", "DEMO", "ascii", "$", 3, "", "isr|age|sex"),
+        "2005/q2/Ascii/drug.txt": (2005, "Q2", "DRUG", "Ascii", "\t", 3, "", "a,b|c|d,e"), "2005/Q3/Deleted/x_deleted.txt": (2005, "Q3", "DELETE", "Deleted", "", 0, "delimiter_not_detected", ""),
+        "2005/Q4/note.txt": (2005, "Q4", "OTHER", "ROOT", "", 0, "empty_header", "")}
+    columns = [(r.column_position, r.column_name, r.column_name_normalized) for r in census.column_rows(files).where("year = 2004").orderBy("column_position").collect()]
+    assert columns == [(1, "ISR", "isr"), (2, "Case", "case"), (3, "Age", "age")]
+    assert {(r.counter, r.value): r.n_files for r in census.counters(files).collect()} == {
+        ("folder_variant", "ascii"): 2, ("folder_variant", "Ascii"): 1, ("folder_variant", "Deleted"): 1, ("folder_variant", "ROOT"): 1, ("delimiter", "$"): 2, ("delimiter", "\t"): 1,
+        ("delimiter", "UNKNOWN"): 2, ("header_issue", "delimiter_not_detected"): 1, ("header_issue", "empty_header"): 1, ("total_files", ""): 5}
+    assert {(r.dataset_family, tuple(r.years), tuple(r.quarters)) for r in census.variants(files).collect()} == {("DEMO", (2004,), ("2004Q1",)), ("DEMO", (2005,), ("2005Q1",)), ("DRUG", (2005,), ("2005Q2",))}
+    assert [(r.added, r.removed) for r in census.changes(files).where("dataset_family = 'DEMO' and year = 2005").collect()] == [(["sex"], ["case"])]
