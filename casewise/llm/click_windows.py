@@ -67,6 +67,8 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
     "spark.sql.streaming.minBatchesToRetain": "2",
     "spark.sql.maxConcurrentOutputFileWriters": "64",
 }
