@@ -2,7 +2,9 @@
 
 Each document gets its own measures from array expressions inside one scan stage; nothing is
 exploded. Rule failures are summed by host, the failure rate of each host is shrunk towards a beta
-prior fitted to all hosts (moment estimator), and the host verdict is joined back on narrow rows.
+prior fitted to all hosts (moment estimator), and the host verdict is joined back on narrow rows. A host is condemned, with
+all its documents, if its failure rate exceeds ``host_excess`` times the corpus's with a posterior probability
+of 95 % (by the normal approximation of the posterior); other documents are judged by their own rules.
 
 Defined results: null text counts as empty (no words, so it fails); documents without a host are
 judged by their own measures only; repeated rows are judged one by one; an empty table gives an
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_RUN, let, materialize, table
 
 BROADCAST_HOSTS = 500_000  # verdicts that are broadcast, at most
-HOT_DOCUMENTS = 10_000  # documents from which a host counts as large, where there are more hosts than that
+HOT_DOCUMENTS = 10_000  # documents from which a host counts as large, at least, where there are more hosts than that
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -29,7 +31,8 @@ class HostRules:
     max_repeat_percent: int = 50
     max_symbol_percent: int = 20  # symbols against characters in words
     max_dup_line_words: int = 10  # words a repeated line costs at least before it counts as failure
-    host_limit: float = 0.75  # a host above this shrunk failure rate loses all its documents
+    host_excess: float = 2.0  # times the corpus's failure rate
+    host_z: float = 1.645  # posterior deviations by which a condemned host's rate lies above that, at least
 
 
 def _repeated(words: Column) -> Column:
@@ -106,7 +109,9 @@ def host_verdicts(measured: DataFrame, host: str = "source", rules: HostRules =
     ).first()
     alpha, beta = beta_prior(sums.k, sums.n or 0.0, sums.f or 0.0, sums.nn or 0.0, sums.ffn or 0.0)
     rate = (f + F.lit(alpha)) / (n + F.lit(alpha + beta))
-    return hosts.withColumn("host_rate", rate).withColumn("host_failed", F.col("host_rate") > rules.host_limit)
+    deviation = F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (n + F.lit(alpha + beta + 1)))
+    above = F.col("host_rate") - F.lit(rules.host_excess * alpha / (alpha + beta)) > rules.host_z * deviation
+    return hosts.withColumn("host_rate", rate).withColumn("host_failed", above)
 
 
 def beta_prior(k: int, n: float, f: float, nn: float, ffn: float) -> tuple[float, float]:
@@ -133,19 +138,21 @@ def judge_documents(docs: DataFrame, text: str = "text", host: str = "source", r
 def join_verdicts(measured: DataFrame, verdicts: DataFrame, host: str) -> DataFrame:
     """``measured`` with its hosts' verdicts, without a host's rows meeting in a task.
 
-    Hosts are broadcast while they are few. Of more, those with many documents still are (no more than
-    one in HOT_DOCUMENTS documents), and only the rows of the other hosts are shuffled.
+    Hosts are broadcast while they are few. Of more, the largest still are, by a size at which no more than BROADCAST_HOSTS
+    are left, and only the rows of the other hosts are shuffled.
     """
     verdicts = materialize(verdicts.select("__host", "host_docs", "host_rate", "host_failed"), "host-verdicts")
-    few = verdicts.count() <= BROADCAST_HOSTS
-    known = verdicts if few else verdicts.where(F.col("host_docs") >= HOT_DOCUMENTS)
+    few, large = verdicts.count() <= BROADCAST_HOSTS, HOT_DOCUMENTS
+    while not few and verdicts.where(F.col("host_docs") >= large).count() > BROADCAST_HOSTS:
+        large *= 4
+    known = verdicts if few else verdicts.where(F.col("host_docs") >= large)
     same = F.col(host) == F.col("__host")
     joined = measured.join(F.broadcast(known.drop("host_docs")), same, "left")
     if not few:
         other = joined.where(F.col("__host").isNull() & F.col(host).isNotNull()).select(*measured.columns)
-        rest = verdicts.where(F.col("host_docs") < HOT_DOCUMENTS).drop("host_docs")
+        rest = verdicts.where(F.col("host_docs") < large).drop("host_docs")
         joined = joined.where(F.col("__host").isNotNull() | F.col(host).isNull()).unionByName(other.join(rest, same, "left"))
-    return joined.drop("__host").withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_failed"), F.lit(False)))
+    return joined.drop("__host").withColumn("kept", ~F.col("rule_failed") & ~F.coalesce(F.col("host_failed"), F.lit(False)))
 
 
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ All rows are encoded, two codes a byte. A query visits the cells with the larges
 a cell it sums one table entry a byte over all codes, keeps the best, and ranks those exactly, in
 double precision, on the original vectors.
 
-Cells are dealt out in chunks of bounded size, and queries in blocks, so neither a crowded cell nor
-the number of queries can fill a task. Only the sample and one count a cell reach the driver.
+Cells are dealt out in chunks of bounded size. A chunk's rows reach its task first and once, then the
+queries that probe its cell stream past them in batches, so neither a crowded cell nor the number of
+queries can fill a task. Only the sample and one count a cell reach the driver.
 
 Defined results: vectors that are null, zero, of another length than most, or hold a null or
 non-finite component take no part; ties go to the smaller vec_id; repeated rows are candidates of
@@ -38,7 +39,6 @@ class Search:
     parallel_weight: float = 3.0  # cost of error along the vector against error across
     rerank: int = 120  # kept by tables for each query and chunk
     chunk_rows: int = 4_096
-    block_queries: int = 4_096
     top: int = 20
 
 
@@ -177,36 +177,46 @@ def search(vectors: DataFrame, is_query, p: Search = Search(), key: str = "vec_i
     index = materialize(rows.mapInPandas(encoded, "vec_id long, v array<double>, cell int, code binary"), "ip-index")
     sizes = {r["cell"]: r["count"] for r in index.groupBy("cell").count().collect()}  # one row a cell
     chunks = {c: -(-n // p.chunk_rows) for c, n in sizes.items()}
-    blocks = max(1, -(-index.where(is_query("vec_id")).count() // p.block_queries))
     probes = min(len(sizes), max(p.least_probes, int(np.ceil(p.probe_share * cells))))
     known = np.array(sorted(sizes))
 
     def routed(frames):
-        for frame in frames:
-            if not len(frame):
-                continue
+        for frame in (whole.iloc[at : at + 256] for whole in frames for at in range(0, len(whole), 256)):
             q = np.stack(frame["v"].to_numpy()).astype(float)
             near = known[np.argsort(-(q @ book.cells[known].T), axis=1, kind="stable")[:, :probes]]
             at = [(i, c, k) for i, cs in enumerate(near) for c in cs for k in range(chunks[c])]
             i, c, k = map(np.array, zip(*at))
             yield pd.DataFrame({"query_id": frame["vec_id"].to_numpy()[i], "q": frame["v"].to_numpy()[i], "cell": c.astype("int32"), "chunk": k.astype("int32")})
 
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    queries = index.where(is_query("vec_id")).groupBy("vec_id").agg(F.min("v").alias("v"))
-    queries = queries.mapInPandas(routed, "query_id long, q array<double>, cell int, chunk int").withColumn("block", block)
+    asking = index.where(is_query("vec_id")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asking = asking.mapInPandas(routed, "query_id long, q array<double>, cell int, chunk int")
     count = F.element_at(F.create_map(*[F.lit(int(z)) for pair in chunks.items() for z in pair]), F.col("cell"))
     dealt = index.withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.col("v")), count).cast("int"))
-    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def scanned(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        x, q = (np.stack(f.to_numpy()).astype(float) for f in (left["v"], right["q"]))
-        packed = np.frombuffer(b"".join(left["code"]), np.uint8).reshape(len(left), -1)
-        return _scan(right["query_id"].to_numpy(), q, left["vec_id"].to_numpy(), x, packed, q @ book.cells[left["cell"].iloc[0]], book)
-
-    by = ["cell", "chunk", "block"]
-    found = dealt.groupBy(*by).cogroup(queries.groupBy(*by)).applyInPandas(scanned, "query_id long, vec_id long, score double")
+    dealt = dealt.select("cell", "chunk", F.lit(False).alias("asks"), F.col("vec_id").alias("id"), "v", "code")
+    queries = asking.select("cell", "chunk", F.lit(True).alias("asks"), F.col("query_id").alias("id"), F.col("q").alias("v"), F.lit(None).cast("binary").alias("code"))
+    by = ["cell", "chunk"]
+    meeting = dealt.unionByName(queries).repartition(*by).sortWithinPartitions(*by, "asks")
+
+    def scanned(frames):
+        """Rows of a chunk are kept as they come, all before its first query."""
+        at, rows, held = None, [], None
+        for frame in frames:
+            for key, part in frame.groupby(by, sort=True):
+                if key != at:
+                    at, rows, held = key, [], None
+                own, asked = part[~part["asks"]], part[part["asks"]]
+                if len(own):
+                    rows.append(own)
+                if not len(asked) or held is None and not rows:  # a chunk may have got no rows
+                    continue
+                if held is None:
+                    whole = pd.concat(rows)
+                    packed = np.frombuffer(b"".join(whole["code"]), np.uint8).reshape(len(whole), -1)
+                    held, rows = (whole["id"].to_numpy(), np.stack(whole["v"].to_numpy()).astype(float), packed), []
+                q = np.stack(asked["v"].to_numpy()).astype(float)
+                yield _scan(asked["id"].to_numpy(), q, *held, q @ book.cells[key[0]], book)
+
+    found = meeting.mapInPandas(scanned, "query_id long, vec_id long, score double")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= p.top).select("query_id", "rank", "vec_id", "score")
 

@@ -40,10 +40,10 @@ with d as (
          / ((f / n) * (1 - f / n) * (n - nn / n - (k - 1))), 1e-4), 0.9999) - 1 end as strength
   from s
 ), v as (
-  select source, (f + mean * strength) / (n + strength) as host_rate from h, p
+  select source, (f + mean * strength) / (n + strength) as host_rate, n + strength + 1 as weight, mean from h, p
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       (not base_failed and not coalesce(host_rate > 0.75, false)) as kept, round(host_rate, 9) as host_rate
+       (not rule_failed and not coalesce(host_rate - 2.0 * mean > 1.645 * sqrt(host_rate * (1 - host_rate) / weight), false)) as kept, round(host_rate, 9) as host_rate
 from r left join v on r.source = v.source
 """
 

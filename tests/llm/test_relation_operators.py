@@ -122,7 +122,7 @@ def test_search_recall_and_odd_vectors(spark):
     rows = [(i, [float(v) for v in x[i]]) for i in range(3000)]
     rows += [(5000, None), (5020, [0.0] * 16), (5040, [float("nan")] * 16), (5060, [1.0, None] + [0.0] * 14), (5080, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    found = inner_product.search(df, lambda c: F.col(c) % 20 == 0, inner_product.Search(chunk_rows=200, block_queries=40)).toPandas()
+    found = inner_product.search(df, lambda c: F.col(c) % 20 == 0, inner_product.Search(chunk_rows=200)).toPandas()
     assert found["query_id"].nunique() == 150 and (found.groupby("query_id").size() == 20).all()
     hits = 0
     for q, own in found.sort_values("rank").groupby("query_id"):
@@ -288,6 +288,23 @@ def survivors(rows):
     return Counter(stay)
 
 
+def test_a_host_far_above_the_corpus_is_condemned_with_its_clean_documents(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    good, poor = " ".join(f"w{i}" for i in range(80)), "too short"
+    hosts = {"a": (200, 10), "b": (300, 18), "bad": (60, 36), "small": (3, 2), None: (4, 2)}
+    rows = [(good if i >= failed else poor, h) for h, (n, failed) in hosts.items() for i in range(n)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string")
+    judged = pipeline.host_rules.judge_documents(docs)
+    assert {r.source for r in judged.where("host_failed").select("source").distinct().collect()} == {"bad"}
+    kept = {r.doc_id for r in judged.where("kept").collect()}
+    assert kept == {i for i, (text, h) in enumerate(rows) if text == good and h != "bad"}
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, QUERIES["op4_host_rules"](spark, str(tmp_path)).select("doc_id", "kept", "host_rate").collect()))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.sql(f"select doc_id, kept, host_rate from ({ORACLES['op4_host_rules']})").fetchall())
+
+
 def test_near_duplicate_stage_keeps_different_texts_of_one_id(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
