@@ -15,6 +15,7 @@ from .sources.order_tables import Reports
 from .sources.quarter_files import quarter_reports
 
 QUARTERS = ("Q1", "Q2", "Q3", "Q4")
+SIGNALS = "01_signal_analysis_results"
 DATASETS = ("case_base", "drug", "drug_feature", "drug_exposure", "reac_case", "outc_case", "case_dataset", "signal_dataset")
 #: Columns of the file of trends (fixed values).
 TREND_COLUMNS = [
@@ -38,19 +39,51 @@ def quarter_relations(reports: Reports, year: int, quarter: str, spec: StudySpec
 
 
 def process_quarter(spark: SparkSession, raw: str, output: str, year: int, quarter: str, tables=DATASETS, spec: StudySpec = Z_DRUGS_AND_FALLS) -> dict[str, str]:
-    relations = quarter_relations(quarter_reports(spark, raw, year, quarter), year, quarter, spec)
-    return {name: sinks.write_dataset(relations[name], output, name) for name in tables}
+    """Write relations of a quarter, bucketed by case id.
+
+    For all of them, each is computed once: children read the written base, and the star joins read written relations, whose
+    buckets meet without an exchange.
+    """
+    reports = quarter_reports(spark, raw, year, quarter)
+    if tuple(tables) != DATASETS:
+        relations = quarter_relations(reports, year, quarter, spec)
+        return {name: sinks.write_bucketed(relations[name], output, name) for name in tables}
+    paths = {}
+
+    def kept(name: str, df: DataFrame) -> DataFrame:
+        dated = df.withColumn("year", F.lit(year)).withColumn("quarter", F.lit(quarter.upper()))
+        paths[name] = sinks.write_bucketed(dated, output, name)
+        return sinks.read_bucketed(spark, output, name, dated.schema).where((F.col("year") == year) & (F.col("quarter") == quarter.upper()))
+
+    base = kept("case_base", cohort.case_base(reports.demo, reports.deleted, spec))
+    rows = kept("drug", cases.drug_rows(reports.drug, base))
+    drugs = cases.drug_cases(rows, spec)
+    features, exposure = kept("drug_feature", cases.drug_feature(drugs)), kept("drug_exposure", cases.drug_exposure(drugs))
+    reactions = kept("reac_case", cases.reaction_cases(reports.reac, base, spec)).drop("year", "quarter")
+    outcomes = kept("outc_case", cases.outcome_cases(cases.outcome_tokens(reports.outc, base), spec)).drop("year", "quarter")
+    drugs = features.drop("year", "quarter").join(exposure.drop("year", "quarter"), "caseid")
+    kept("case_dataset", cases.case_dataset(base, drugs, reactions, outcomes))
+    kept("signal_dataset", cases.signal_dataset(base, drugs, reactions, outcomes))
+    return paths
 
 
 def is_complete(spark: SparkSession, output: str, year: int, quarter: str, name: str = "signal_dataset") -> bool:
-    return bool(store.files_below(spark, f"{output}/{name}/year={year}/quarter={quarter}", ".parquet"))
+    """Whether a quarter's relation is there, in files that were written to their end."""
+    files = store.files_below(spark, f"{output}/{name}/year={year}/quarter={quarter}", ".parquet")
+    return bool(files) and all(store.looks_like_parquet(spark, f.path) for f in files)
 
 
 def process_year(spark: SparkSession, raw: str, output: str, year: int, force: bool = False, spec: StudySpec = Z_DRUGS_AND_FALLS) -> dict[str, DataFrame]:
-    """Quarters that are not there yet, then the year's analyses; a year is a partition filter, not a copy."""
-    for quarter in QUARTERS:
-        if force or not is_complete(spark, output, year, quarter):
-            process_quarter(spark, raw, output, year, quarter, spec=spec)
+    """Quarters that are not there yet, then the year's analyses; a year is a partition filter, not a copy.
+
+    Of a finished year, all quarters and results there, the signal results are read back and nothing is done anew.
+    """
+    missing = [q for q in QUARTERS if force or not is_complete(spark, output, year, q)]
+    finished = f"{output}/analysis/{year}/{SIGNALS}.csv"
+    if not missing and store.exists(spark, finished) and store.exists(spark, f"{output}/analysis/{year}/summary.txt"):
+        return {SIGNALS: sinks.read_csv(spark, finished)}
+    for quarter in missing:
+        process_quarter(spark, raw, output, year, quarter, spec=spec)
     results = analyse(spark, sinks.read_dataset(spark, output, "signal_dataset", year), sinks.read_dataset(spark, output, "case_dataset", year), spec)
     folder = Path(output) / "analysis" / str(year)
     for name, table in results.items():
@@ -62,7 +95,7 @@ def process_year(spark: SparkSession, raw: str, output: str, year: int, force: b
 def analyse(spark: SparkSession, signals: DataFrame, dataset: DataFrame, spec: StudySpec) -> dict[str, DataFrame]:
     order = [F.asc("analysis"), F.asc("outcome_name"), F.desc_nulls_last("ror")]
     return {
-        "01_signal_analysis_results": full_measures(analyses.signal_tables(signals, spec)),
+        SIGNALS: full_measures(analyses.signal_tables(signals, spec)),
         "01_signal_qc": analyses.signal_qc(signals),
         "02_comparative_results": full_measures(analyses.comparative_tables(signals, spec)),
         "02_group_qc": analyses.group_qc(signals),
@@ -84,7 +117,7 @@ def _tests(spark: SparkSession, signals: DataFrame) -> DataFrame:
 def year_summary(year: int, results: dict[str, DataFrame], top: int = 5) -> str:
     """Plain text: overall signals, and the strongest features of each analysis and outcome."""
     lines = [f"Year {year}", ""]
-    for r in results["01_signal_analysis_results"].where("stratum = 'overall'").orderBy("analysis", "outcome_name").collect():
+    for r in results[SIGNALS].where("stratum = 'overall'").orderBy("analysis", "outcome_name").collect():
         lines.append(f"{r.analysis} {r.outcome_name}: a={r.a} n={r.n} ror={r.ror} prr={r.prr} {r.conclusion}")
     seen: dict[tuple, int] = {}
     for r in results["03_feature_results"].collect():
@@ -107,7 +140,7 @@ def trend_row(year: int, results: DataFrame) -> DataFrame:
 
 
 def process_years(spark: SparkSession, raw: str, output: str, first: int, last: int, force: bool = False, spec: StudySpec = Z_DRUGS_AND_FALLS) -> DataFrame:
-    rows = [trend_row(y, process_year(spark, raw, output, y, force, spec)["01_signal_analysis_results"]) for y in range(first, last + 1)]
+    rows = [trend_row(y, process_year(spark, raw, output, y, force, spec)[SIGNALS]) for y in range(first, last + 1)]
     whole = rows[0]
     for row in rows[1:]:
         whole = whole.unionByName(row, allowMissingColumns=True)
@@ -117,15 +150,15 @@ def process_years(spark: SparkSession, raw: str, output: str, first: int, last:
 
 def build_period(spark: SparkSession, output: str, first: int = 2004, last: int = 2025) -> dict[str, DataFrame]:
     """Index, signal and feature rows across quarters, written once, with their counts."""
-    bases = sinks.read_dataset(spark, output, "case_base")
-    index = periods.global_index(bases, first, last).cache()
-    signals = periods.signal_of_period(index, sinks.read_dataset(spark, output, "signal_dataset"))
-    features = sinks.read_dataset(spark, output, "drug_feature")
+    bases, signals, features = (sinks.read_bucketed(spark, output, name) for name in ("case_base", "signal_dataset", "drug_feature"))
+    index = periods.global_index(bases, first, last, clean=False).cache()
+    signals = periods.signal_of_period(index, signals, clean=False)
     features = periods.features_of_period(index, features.withColumn("year_quarter", F.concat(F.col("year").cast("string"), F.col("quarter"))))
     token = f"{first}_{last}"
-    for name, df in (("global_case_index", index), ("signal_dataset", signals), ("feature_dataset", features)):
-        df.write.mode("overwrite").parquet(f"{output}/period/{name}_{token}")
-    sinks.write_csv(periods.period_summary(index, signals, features), Path(output) / "period" / f"summary_{token}.csv")
+    with sinks.joined_by_bucket(spark):
+        for name, df in (("global_case_index", index), ("signal_dataset", signals), ("feature_dataset", features)):
+            df.write.mode("overwrite").parquet(f"{output}/period/{name}_{token}")
+        sinks.write_csv(periods.period_summary(index, signals, features), Path(output) / "period" / f"summary_{token}.csv")
     return {"index": index, "signals": signals, "features": features}
 
 

@@ -160,13 +160,6 @@ def repeated_keys(relation: DataFrame, keys: tuple[str, ...] = ("caseid",), show
     return relation.groupBy(*keys).agg(F.count("*").alias("n_rows")).where("n_rows > 1").orderBy(*keys).limit(show)
 
 
-def assert_unique(relation: DataFrame, keys: tuple[str, ...] = ("caseid",)) -> DataFrame:
-    found = repeated_keys(relation, keys).collect()
-    if found:
-        raise ValueError(f"repeated {', '.join(keys)}: {[tuple(r) for r in found]}")
-    return relation
-
-
 def term_profile(reac: DataFrame, base: DataFrame, exposure: DataFrame, primary_only: bool = False, top: int = 50) -> DataFrame:
     """Ranked preferred terms of target cases with row and case shares; blank terms are left out."""
     flag = "is_zolpidem_suspect_ps" if primary_only else "is_zolpidem_suspect"

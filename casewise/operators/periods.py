@@ -10,16 +10,20 @@ from ..functions.text import strip, truth
 INDEX = ("caseid", "primaryid", "fda_dt", "year", "quarter", "year_quarter")
 
 
-def global_index(bases: DataFrame, first_year: int = 2004, last_year: int = 2025) -> DataFrame:
-    """Latest quarterly report of each case; here a missing date or number loses."""
+def global_index(bases: DataFrame, first_year: int = 2004, last_year: int = 2025, clean: bool = True) -> DataFrame:
+    """Latest quarterly report of each case; here a missing date or number loses. Without ``clean``, case ids are known to be stripped."""
     number = F.regexp_extract(F.upper(strip(F.col("quarter"))), "([1-4])", 1).try_cast("int")
-    rows = bases.where(F.col("year").between(first_year, last_year)).where(strip(F.col("caseid")) != "")
+    named = strip(F.col("caseid")) if clean else F.col("caseid")
+    rows = bases.where(F.col("year").between(first_year, last_year)).where(named != "")
     order = [F.col("fda_dt").desc_nulls_last(), F.col("primaryid").desc_nulls_last(), F.desc("year"), number.desc_nulls_last()]
     place = Window.partitionBy("caseid").orderBy(*order)
     return rows.withColumn("__place", F.row_number().over(place)).where("__place = 1").select(*INDEX)
 
 
-def signal_of_period(index: DataFrame, signals: DataFrame) -> DataFrame:
+def signal_of_period(index: DataFrame, signals: DataFrame, clean: bool = True) -> DataFrame:
+    """Signal rows of the report that the index has for a case. Without ``clean``, keys are known to be stripped and upper-case."""
+    if not clean:
+        return signals.join(index.select("caseid", "year", "quarter"), ["caseid", "year", "quarter"])
     keys = index.select(strip(F.col("caseid")).alias("caseid"), F.col("year").cast("int").alias("year"), F.upper(strip(F.col("quarter"))).alias("quarter"))
     rows = signals.withColumns({"caseid": strip(F.col("caseid")), "year": F.col("year").cast("int"), "quarter": F.upper(strip(F.col("quarter")))})
     return rows.join(keys, ["caseid", "year", "quarter"])

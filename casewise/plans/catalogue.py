@@ -72,6 +72,7 @@ def _on_periods(build: Callable[[Periods], DataFrame]) -> Callable[[SparkSession
 KEYS = ["analysis", "outcome_name", "stratum", "level"]
 FEATURE_KEYS = ["analysis", "outcome_name", "domain", "feature", "level"]
 CELLS = ["a", "b", "c", "d", "n"]
+FLAGS = ["signal_flag_mhra", "signal_flag_ror", "signal_flag_ic", "signal_flag_ebgm"]
 RATIOS = ["reporting_rate_exposed", "reporting_rate_unexposed", "ror", "ror_ci_low", "ror_ci_high", "prr", "prr_ci_low", "prr_ci_high"]
 POINTS = [*RATIOS, "chi_square_yates", "expected_a", "ic", "ebgm"]
 
@@ -234,6 +235,14 @@ CATALOGUE: dict[str, tuple[Callable, str | None]] = {
         O.CASES + O.measures(O.feature_cells(), FEATURE_KEYS, [*FEATURE_KEYS, *CELLS, *POINTS]),
     ),
     "signal_full_measures": (_on_cases(lambda r: signal.full_measures(analyses.signal_tables(r.signals, SPEC))), None),
+    "signal_flags": (
+        _on_cases(lambda r: signal.full_measures(analyses.signal_tables(r.signals, SPEC)).select(*KEYS, *FLAGS, "conclusion")),
+        O.CASES + O.flags(O.signal_cells(True, skip=("polypharmacy_5",)), KEYS),
+    ),
+    "comparative_flags": (
+        _on_cases(lambda r: signal.full_measures(analyses.comparative_tables(r.signals, SPEC)).select(*KEYS, *FLAGS, "conclusion")),
+        O.CASES + O.flags(O.comparative_cells(), KEYS),
+    ),
     "signal_qc": (
         _on_cases(lambda r: analyses.signal_qc(r.signals)),
         O.CASES + " select count(*) as n_cases, count(*) filter (is_zolpidem_suspect) as n_exposed, count(*) filter (not is_zolpidem_suspect) as n_unexposed, "

@@ -227,3 +227,17 @@ select {", ".join(columns if not columns else [_show(c) for c in columns])} from
 def _show(column: str) -> str:
     exact = {"analysis", "outcome_name", "stratum", "level", "domain", "feature", "year", "a", "b", "c", "d", "n"}
     return column if column in exact else f"round({column}, 6) as {column}"
+
+
+def flags(cells: str, keys: list[str]) -> str:
+    """Signal flags and conclusion of a cells query; credibility limits are compared through the gamma distribution function (its series)."""
+
+    def gamma_cdf(shape: str, x: str) -> str:
+        return f"list_sum(list_transform(range(0, 20000), lambda k: exp(({shape} + k) * ln({x}) - {x} - lgamma({shape} + k + 1))))"
+
+    ready = measures(cells, keys, keys).rpartition("select ")[0]
+    return ready + f"""select {", ".join(keys)}, signal_flag_mhra, signal_flag_ror, signal_flag_ic, signal_flag_ebgm,
+  case when signal_flag_mhra or signal_flag_ror or signal_flag_ic or signal_flag_ebgm then 'signal_detected' else 'no_clear_signal' end as conclusion
+from (select *, coalesce(a >= 3 and prr >= 2 and chi_square_yates >= 4, false) as signal_flag_mhra, coalesce(ror_ci_low > 1, false) as signal_flag_ror,
+  coalesce({gamma_cdf("(a + 0.5)", "(expected_a + 0.5)")} < 0.025, false) as signal_flag_ic,
+  coalesce(a >= 3 and {gamma_cdf("(a + 1.0)", "(2 * (expected_a + 1.0))")} <= 0.05, false) as signal_flag_ebgm from m)"""

@@ -13,6 +13,7 @@ class StudySpec:
     narrow_terms: tuple[str, ...]
     broad_terms: tuple[str, ...]
     target_name: str = "target"
+    #: roles, ages and polypharmacy (fixed values)
     suspect_roles: tuple[str, ...] = ("PS", "SS")
     primary_roles: tuple[str, ...] = ("PS",)
     min_age: float = 65.0
@@ -34,6 +35,7 @@ class StudySpec:
 
     @property
     def strata(self) -> list[tuple[str, object]]:
+        """Levels that are analysed by themselves (fixed values)."""
         return [
             ("age_group", "65-74"), ("age_group", "75-84"), ("age_group", ">=85"),
             ("sex_clean", "F"), ("sex_clean", "M"), ("serious", True), ("polypharmacy_5", True),
@@ -41,6 +43,7 @@ class StudySpec:
 
     @property
     def features(self) -> list[tuple[str, object, str]]:
+        """Features with their domains (fixed values)."""
         domains = {"age_group": "demographic", "sex_clean": "demographic", "serious": "severity", "polypharmacy_5": "medication_burden"}
         return [(c, v, domains[c]) for c, v in self.strata] + [(c, True, "co_medication") for c in self.comedication]
 

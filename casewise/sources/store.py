@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -55,8 +56,6 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def first_line(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> str | None:
     """The first line of a file, empty for an empty file, None if it can't be read."""
-    from py4j.protocol import Py4JJavaError
-
     java = spark.sparkContext._jvm.java.io
     store, there = _at(spark, path)
     try:
@@ -77,3 +76,21 @@ def write_line(spark: SparkSession, path: str, line: str) -> None:
         stream.write(bytearray(line.encode("utf-8")))
     finally:
         stream.close()
+
+
+def looks_like_parquet(spark: SparkSession, path: str) -> bool:
+    """Magic bytes at both ends of a file: a write that broke off lacks the last ones."""
+    store, there = _at(spark, path)
+    size = store.getFileStatus(there).getLen()
+    if size < 12:
+        return False
+    stream, ends = store.open(there), []
+    try:
+        for at in (0, size - 4):
+            stream.seek(at)
+            ends.append(bytes(stream.read() for _ in range(4)))
+    except Py4JJavaError:  # checksums of the file system do not fit
+        return False
+    finally:
+        stream.close()
+    return ends == [b"PAR1", b"PAR1"]

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casewise import batch, cli
+from casewise.operators import periods
 from casewise.sources import census, sinks
 from casewise.sources import quarter_files as q
 
@@ -56,6 +57,10 @@ def quarter(root, year=2024, name="Q1"):
     write(folder / "deleted" / "del.txt", "900$x\nabc\n\n")
 
 
+def trend_rows(spark, out):
+    return spark.read.option("header", True).csv(f"{out}/analysis/trend_2024_2024.csv").collect()
+
+
 def test_year_and_period_end_to_end(spark, tmp_path):
     raw, out = tmp_path / "raw", str(tmp_path / "out")
     for name in ("Q1", "Q2", "Q3", "Q4"):
@@ -67,6 +72,13 @@ def test_year_and_period_end_to_end(spark, tmp_path):
     overall = {(r.analysis, r.outcome_name): int(r.n) for r in result.where("stratum = 'overall'").collect()}
     assert overall[("main_ps_ss", "strict_fall")] == 96
     assert batch.is_complete(spark, out, 2024, "Q1")
+    again = batch.process_years(spark, str(tmp_path / "gone"), out, 2024, 2024)  # nothing is left to do, so the reports are not needed
+    assert again.count() == len(trend_rows(spark, out)) and len(again.columns) == 28
+    broken = next((tmp_path / "out" / "signal_dataset" / "year=2024" / "quarter=Q2").glob("*.parquet"))
+    whole = broken.read_bytes()
+    broken.write_bytes(whole[:-4])
+    assert not batch.is_complete(spark, out, 2024, "Q2")
+    broken.write_bytes(whole)
     cli.main(["period", "--output", out], spark)
     assert spark.read.parquet(f"{out}/period/signal_dataset_2004_2025").count() == 24
     cli.main(["analyse", "--output", out], spark)
@@ -80,6 +92,32 @@ def test_year_and_period_end_to_end(spark, tmp_path):
     assert len(trend.columns) == 28 and {r.outcome_definition for r in trend.collect()} == {"Narrow fall definition", "Broad fall definition"}
 
 
+def test_joins_of_written_relations_need_no_exchange(spark, tmp_path):
+    raw, out = tmp_path / "raw", str(tmp_path / "out")
+    for name in ("Q1", "Q2"):
+        quarter(raw, name=name)
+        batch.process_quarter(spark, str(raw), out, 2024, name)
+        batch.process_quarter(spark, str(raw), out, 2024, name)  # the same partitions again
+    base, features, signals = (sinks.read_bucketed(spark, out, n) for n in ("case_base", "drug_feature", "signal_dataset"))
+    assert base.count() == 48 and signals.count() == 48
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with sinks.joined_by_bucket(spark):
+            star = base.join(features, ["caseid", "year", "quarter"], "left").join(signals.select("caseid", "year", "quarter", "serious"), ["caseid", "year", "quarter"], "left")
+            assert "Exchange" not in star._jdf.queryExecution().executedPlan().toString() and star.count() == 48
+            index = periods.global_index(base, clean=False)
+            period = periods.signal_of_period(index, signals, clean=False)
+            assert "Exchange" not in period._jdf.queryExecution().executedPlan().toString() and period.count() == 24
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    quarter(raw, name="Q3")
+    write(raw / "2024" / "Q3" / "ascii" / "OUTC24Q3.txt", "primaryid$caseid$outc_cod\n")  # a relation without rows
+    batch.process_quarter(spark, str(raw), out, 2024, "Q3")
+    assert sinks.read_bucketed(spark, out, "case_dataset").where("quarter = 'Q3' and not serious").count() == 24
+    assert sinks.bucket_count(spark, out) == sinks.bucket_count(spark, out, 99) == 4
+
+
 def test_pairs_of_datasets(tmp_path):
     for name in ("signal_dataset_2004_2025", "feature_dataset_2004_2025", "signal_dataset_2024_2025", "feature_dataset_2024_2025", "signal_dataset_2001_2002"):
         (tmp_path / name).mkdir()

@@ -37,3 +37,10 @@ def test_known_quantiles():
     assert numerics.gamma_ppf(0.5, 1.0) == pytest.approx(math.log(2), abs=1e-9)
     assert numerics.normal_sf(1.959964) == pytest.approx(0.025, abs=1e-7)
     assert numerics.student_sf(2.228139, 10) == pytest.approx(0.025, abs=1e-6)
+
+
+def test_an_empty_table_has_no_ratios_and_no_signal(spark):
+    r = full_measures(spark.createDataFrame([(0, 0, 0, 0)], "a long, b long, c long, d long")).first()
+    assert (r.n, r.ror, r.ror_ci_low, r.prr, r.prr_ci_high, r.reporting_rate_exposed, r.reporting_rate_unexposed) == (0, None, None, None, None, None, None)
+    assert (r.chi_square_yates, r.expected_a, r.ic) == (0.0, 0.0, 0.0) and r.conclusion == "no_clear_signal"
+    assert not any((r.signal_flag_mhra, r.signal_flag_ror, r.signal_flag_ic, r.signal_flag_ebgm)) and r.ic025 < 0 < r.ic975
