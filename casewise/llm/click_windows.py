@@ -13,8 +13,10 @@ ends then. One timer a bucket stands at the wheel's earliest slot; when the wate
 due slots are drained. A slot's entry whose window has since been replaced is passed over.
 
 The watermark trails the largest event time by ``LATENESS`` hours and a millisecond, so copies at the
-boundary are not late and a slot is due only when its hour lies before the boundary. A last row far
-ahead in the final batch moves the watermark past every window.
+boundary are not late and a slot is due only when its hour lies before the boundary. What a batch has
+made due leaves at the next start, before new rows are looked at, under the number of the batch that
+closed it; so each start is one micro-batch. A last row far ahead in the final batch moves the watermark
+past every window, and one more micro-batch without rows lets them go.
 
 A click with more than ``heavy`` rows would make its bucket large: of its copies only those with the
 least hash of some (batch, hour) can ever open a window, so all others are summed up by hour before
@@ -30,6 +32,7 @@ from __future__ import annotations
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -67,10 +70,10 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
     "spark.sql.streaming.minBatchesToRetain": "2",
     "spark.sql.maxConcurrentOutputFileWriters": "64",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
 
@@ -113,8 +116,17 @@ def _lightened(copies: DataFrame, clicks: DataFrame, heavy: int) -> DataFrame:
     return named.join(ids, "click_id", "left_anti").unionByName(summed)
 
 
-def cut_batches(clicks: DataFrame, folder: str, batches: int = BATCHES, heavy: int = HEAVY) -> tuple[int, int] | None:
-    """Write the copies of ``clicks`` under ``folder`` as batch=0, 1, ... by arrival; the least hour and the number of copies, None without any."""
+@dataclass(frozen=True)
+class Cut:
+    """What was cut: least and largest hour, and the number of copies."""
+
+    first: int
+    last: int
+    copies: int
+
+
+def cut_batches(clicks: DataFrame, folder: str, batches: int = BATCHES, heavy: int = HEAVY) -> Cut | None:
+    """Write the copies of ``clicks`` under ``folder`` as batch=0, 1, ... by arrival; None without any."""
     copies = copies_of(clicks)
     ends = copies.agg(F.min("lag_hour").alias("low"), F.max("lag_hour").alias("high"), F.min("hour").alias("first"), F.max("hour").alias("last"), F.count("*").alias("n")).first()
     if not ends.n:
@@ -123,9 +135,9 @@ def cut_batches(clicks: DataFrame, folder: str, batches: int = BATCHES, heavy: i
     rows = _lightened(copies.withColumn("batch", batch), clicks, heavy)
     beyond = ends["last"] + SPAN + LATENESS + 2
     last = clicks.sparkSession.range(1, numPartitions=1).selectExpr(f"{batches - 1} as batch", "cast(null as long) as click_id", f"{beyond}L as hour", "cast(null as binary) as hash", "0L as n", "0L as crc")
-    at = F.timestamp_seconds((F.col("hour") - ends.first + AHEAD) * 3600)
+    at = F.timestamp_seconds((F.col("hour") - ends["first"] + AHEAD) * 3600)
     rows.unionByName(last).withColumn("at", at).write.partitionBy("batch").option("compression", "zstd").parquet(folder)
-    return ends.first, ends.n
+    return Cut(ends["first"], ends["last"], ends.n)
 
 
 def _packer(buckets: int):
@@ -162,10 +174,10 @@ def _packer(buckets: int):
 
 
 class ClickWindows(StatefulProcessor):
-    """Open windows of one bucket's clicks during the start number ``batch``; ``first`` is the least hour of the stream."""
+    """Open windows of one bucket's clicks during the start number ``batch`` of the stream that was ``cut``."""
 
-    def __init__(self, batch: int, first: int):
-        self.batch, self.shift = batch, AHEAD - first
+    def __init__(self, batch: int, cut: Cut):
+        self.batch, self.cut, self.shift = batch, cut, AHEAD - cut.first
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -201,30 +213,46 @@ class ClickWindows(StatefulProcessor):
             elif self.windows.containsKey((i,)):
                 self.windows.removeKey((i,))
 
-    def _arm(self, deadline: int) -> None:
-        """The bucket's one timer stands at ``deadline``."""
-        want, there = (deadline + self.shift) * HOUR_MS, list(self.handle.listTimers())
-        for other in there:
-            if other != want:
-                self.handle.deleteTimer(other)
-        if want not in there:
-            self.handle.registerTimer(want)
+    def _arm(self, deadlines: list[int]) -> None:
+        """The bucket's one timer stands at the least of ``deadlines``."""
+        want, there = [(min(deadlines) + self.shift) * HOUR_MS] if deadlines else [], list(self.handle.listTimers())
+        for other in set(there) - set(want):
+            self.handle.deleteTimer(other)
+        for new in set(want) - set(there):
+            self.handle.registerTimer(new)
 
-    def _closed(self, windows: list[tuple]) -> Iterator[Row]:
+    def _closed(self, windows: list[tuple], batch: int) -> Iterator[Row]:
         for at in range(0, len(windows), 20_000):
             ids, starts, repeats, conflicts, crcs, hashes = map(list, zip(*windows[at : at + 20_000], strict=True))
-            yield Row(click_id=ids, start_hour=starts, closed_batch=self.batch, n_repeats=repeats, n_conflicts=conflicts, conflict_crc=crcs, hash=[h.hex() for h in hashes])
+            yield Row(click_id=ids, start_hour=starts, closed_batch=batch, n_repeats=repeats, n_conflicts=conflicts, conflict_crc=crcs, hash=[h.hex() for h in hashes])
+
+    def _drain(self, held: dict[int, list], boundary: int) -> tuple[Iterator[Row], list[int]]:
+        """Take windows that are due out of ``held`` and their slots off the wheel; rows for them, and the deadlines that are left."""
+        closed, later = [], []
+        for (deadline,), (ids,) in list(self.wheel.iterator()):
+            if deadline >= boundary:
+                later.append(deadline)
+                continue
+            for click in np.frombuffer(bytes(ids), "<i8").tolist():
+                window = held.get(click)
+                if window and window[0] + SPAN == deadline:
+                    closed.append((click, *held.pop(click)))
+            self.wheel.removeKey((deadline,))
+        past_all = boundary > self.cut.last + SPAN  # after the last batch; else it was the one before that closed them
+        return self._closed(closed, self.batch if past_all else self.batch - 1), later
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         copies = np.concatenate([np.frombuffer(bytes(r.packed), COPY) for r in rows])
+        held, slots = self._open(), []
         if self.batch:
-            copies = copies[copies["hour"] >= self._boundary(timerValues)]
-        if not len(copies):
-            return
+            boundary = self._boundary(timerValues)
+            due, slots = self._drain(held, boundary)
+            yield from due
+            copies = copies[copies["hour"] >= boundary]
         h = np.frombuffer(copies["hash"].tobytes(), ">u8").reshape(-1, 4).astype(np.uint64)
         copies = copies[np.lexsort((h[:, 3], h[:, 2], h[:, 1], h[:, 0], copies["hour"], copies["id"]))]
         hashes = copies["hash"].tobytes()
-        held, closed, opened = self._open(), [], defaultdict(list)
+        closed, opened = [], defaultdict(list)
         for i, (click, hour, n, crc) in enumerate(zip(*(copies[k].tolist() for k in ("id", "hour", "n", "crc")), strict=True)):
             own, window = hashes[32 * i : 32 * i + 32], held.get(click)
             if window is None or hour > window[0] + SPAN:
@@ -238,40 +266,25 @@ class ClickWindows(StatefulProcessor):
                     window[2] += n
                     window[3] += crc
         self._keep(held)
-        slots = [deadline for (deadline,) in self.wheel.keys()]
         for deadline, clicks in opened.items():
             before = bytes(self.wheel.getValue((deadline,))[0]) if deadline in slots else b""
             self.wheel.updateValue((deadline,), (before + np.array(clicks, "<i8").tobytes(),))
-        self._arm(min([*slots, *opened]))
-        yield from self._closed(closed)
+        self._arm([*slots, *opened])
+        yield from self._closed(closed, self.batch)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        boundary, held, closed, later = self._boundary(timerValues), self._open(), [], []
-        for (deadline,), (ids,) in list(self.wheel.iterator()):
-            if deadline >= boundary:
-                later.append(deadline)
-                continue
-            for click in np.frombuffer(bytes(ids), "<i8").tolist():
-                window = held.get(click)
-                if window and window[0] + SPAN == deadline:
-                    closed.append((click, *held.pop(click)))
-            if held:
-                self.wheel.removeKey((deadline,))
-        if held:
-            self._keep(held)
-        else:
-            self.windows.clear()
-            self.wheel.clear()
-        if later and held:
-            self._arm(min(later))
-        yield from self._closed(closed)
-
-
-def windows_of(stream: DataFrame, batch: int, first: int, buckets: int) -> DataFrame:
-    """Windows that close, from a stream of copies (``SOURCE``), in the start number ``batch``."""
+        held = self._open()
+        due, later = self._drain(held, self._boundary(timerValues))
+        self._keep(held)
+        self._arm(later)
+        yield from due
+
+
+def windows_of(stream: DataFrame, batch: int, cut: Cut, buckets: int) -> DataFrame:
+    """Windows that close, from a stream of copies (``SOURCE``), in the start number ``batch`` or just before it."""
     dealt = stream.withWatermark("at", f"{LATENESS} hours 1 millisecond").withColumn("bucket", F.pmod(F.xxhash64("click_id"), F.lit(buckets)).cast("int"))
     packed = dealt.drop("at").mapInArrow(_packer(buckets), "bucket int, packed binary")
-    closed = packed.groupBy("bucket").transformWithState(ClickWindows(batch, first), PACKED, "append", "eventTime")
+    closed = packed.groupBy("bucket").transformWithState(ClickWindows(batch, cut), PACKED, "append", "eventTime")
     columns = ["click_id", "start_hour", "n_repeats", "n_conflicts", "conflict_crc", "hash"]
     each = closed.select("closed_batch", F.inline(F.arrays_zip(*columns)))
     return each.select([c.split()[0] for c in RESULT.split(", ")])
@@ -305,17 +318,17 @@ def deduplicate_clicks(clicks: DataFrame, batches: int = BATCHES, heavy: int = H
         cut = cut_batches(clicks, f"{home}/cut", batches, heavy)
         if cut is None:
             return spark.createDataFrame([], RESULT)
-        first, n = cut
-        buckets = max(LEAST_BUCKETS, -(-n // (batches * BUCKET_COPIES)))
+        buckets = max(LEAST_BUCKETS, -(-cut.copies // (batches * BUCKET_COPIES)))
         parts = "spark.sql.shuffle.partitions"
         before[parts] = spark.conf.get(parts)
-        spark.conf.set(parts, str(min(int(before[parts]), max(4, n // (batches * PARTITION_COPIES)))))
+        spark.conf.set(parts, str(min(int(before[parts]), max(4, cut.copies // (batches * PARTITION_COPIES)))))
         store, feed = _store(spark, f"{home}/feed")
         store.mkdirs(feed)
         for batch in range(batches):
+            spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(batch == batches - 1).lower())
             _move(spark, f"{home}/cut/batch={batch}", f"{home}/feed/{batch:03d}")
             arrived = spark.readStream.schema(SOURCE).option("recursiveFileLookup", "true").parquet(f"{home}/feed")
-            sink = windows_of(arrived, batch, first, buckets).writeStream.format("parquet").option("path", f"{home}/windows")
+            sink = windows_of(arrived, batch, cut, buckets).writeStream.format("parquet").option("path", f"{home}/windows")
             sink.option("checkpointLocation", f"{home}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     finally:
         for k, v in before.items():
