@@ -71,6 +71,7 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.minBatchesToRetain": "2",
     "spark.sql.maxConcurrentOutputFileWriters": "64",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",

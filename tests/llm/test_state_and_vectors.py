@@ -65,13 +65,14 @@ def windows(rows, batches=12):
     return sorted(out)
 
 
-def test_click_windows_agree_with_brute_force_and_sql(spark):
+def test_click_windows_agree_with_brute_force_and_sql(spark, tmp_path):
     rows = click_rows()
     clicks = spark.createDataFrame(rows, CLICKS)
     got = sorted(tuple(r) for r in click_windows.deduplicate_clicks(clicks).collect())
     assert got == windows(rows) and any(w[4] for w in got) and len({w[2] for w in got}) > 6
     db = duckdb.connect()
-    db.register("clicks", clicks.toPandas())
+    clicks.write.parquet(str(tmp_path / "clicks"))
+    db.execute(f"create view clicks as select * from '{tmp_path}/clicks/*.parquet'")
     assert sorted(db.sql(sql.CLICK_WINDOWS).fetchall()) == got
 
 
