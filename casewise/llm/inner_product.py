@@ -3,9 +3,16 @@
 A bounded sample trains coarse cells (k-means) and, for what a cell's centre leaves over, sixteen
 centres in each two-dimensional subspace. Quantisation minimises an anisotropic loss: error parallel
 to the vector, which changes its inner product with vectors like it, costs more than error across.
-All rows are encoded, two codes a byte. A query visits the cells with the largest inner products; in
-a cell it sums one table entry a byte over all codes, keeps the best, and ranks those exactly, in
-double precision, on the original vectors.
+All rows are encoded, two codes a byte, with the length of what the code leaves over. A query visits
+the cells with the largest inner products; in a cell it sums one table entry a byte over all codes,
+keeps the best, and ranks those exactly, in double precision, on the original vectors. A row whose sum
+could, by the length of its error, still beat the last of them is ranked exactly as well, so rows that
+share a code lose nothing in the cells that are visited.
+
+How many cells are visited is measured, not guessed: as many as hold ``wanted`` of the nearest rows of
+the sample for up to ``trial`` of the queries themselves, and never less than the floors of ``Search``.
+Rows further from their cell's centre than nearly all of the sample are met by every query. A query
+takes along what its last row of the sample scores, so that chunks send back only what may be a result.
 
 Cells are dealt out in chunks of bounded size. A chunk's rows reach its task first and once, then the
 queries that probe its cell stream past them in batches, so neither a crowded cell nor the number of
@@ -34,8 +41,11 @@ class Search:
     sample: int = 20_000  # vectors for training, at most
     rows_per_cell: int = 2_000
     most_cells: int = 1_024
-    probe_share: float = 0.3  # of the cells
+    probe_share: float = 0.3  # of the cells, at least
     least_probes: int = 10
+    trial: int = 256  # queries on which the number of cells is measured
+    wanted: float = 0.99  # of their nearest rows in the sample must lie in the cells they visit
+    near_share: float = 0.99  # of the sample; rows that lie further from their cell's centre meet every query
     parallel_weight: float = 3.0  # cost of error along the vector against error across
     rerank: int = 120  # kept by tables for each query and chunk
     chunk_rows: int = 4_096
@@ -56,6 +66,8 @@ class Codebook:
     def __init__(self, x: np.ndarray, cells: int, p: Search, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.p, self.dim = p, x.shape[1]
+        self.unit = np.abs(x).max()  # tables and codes are in this unit, so that squares neither overflow nor vanish
+        x = x / self.unit
         self.pairs = -(-self.dim // 4)  # bytes a row: two subspaces of two dimensions each
         self.width = self.pairs * 4
         self.cells = self._means(x, cells, rng)
@@ -64,6 +76,7 @@ class Codebook:
         for _ in range(4):  # centres by weighted least squares for codes chosen under the anisotropic loss
             codes = self._codes(x)
             self._refit(x, codes)
+        self.reach = np.quantile(np.linalg.norm(x - self.cells[self.cell_of(x)], axis=1), p.near_share)
 
     def _pad(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, self.width - self.dim)))
@@ -119,37 +132,87 @@ class Codebook:
                     self.centres[m, k] = np.linalg.solve(a, b)
             along[:, m] = ((left[:, m] - self.centres[m][codes[:, m]]) * u).sum(1)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cell of each row, and its codes packed two a byte."""
-        codes = self._codes(x).astype(np.uint8)
-        return self.cell_of(x), codes[:, 0::2] | codes[:, 1::2] << 4
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Cell of each row, its codes packed two a byte, the length of their error, and whether it lies near its cell's centre."""
+        with np.errstate(all="ignore"):
+            x = x / self.unit
+            codes, cell = self._codes(x).astype(np.uint8), self.cell_of(x)
+            left = self._pad(x - self.cells[cell]).reshape(len(x), -1, 2)
+            error = np.sqrt(((left - self.centres[np.arange(left.shape[1]), codes]) ** 2).sum((1, 2)))
+            near = np.sqrt((left**2).sum((1, 2))) <= self.reach
+        return cell, codes[:, 0::2] | codes[:, 1::2] << 4, np.where(np.isnan(error), np.inf, error), near
+
+    def order(self, q: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """The cells ``known`` for each query, largest inner product first."""
+        return known[np.argsort(-(q / self.unit @ self.cells[known].T), axis=1, kind="stable")]
+
+    def probes(self, q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, known: np.ndarray) -> int:
+        """How many cells hold ``wanted`` of the nearest rows of the sample ``x`` for queries ``q``; rows far from centres are met anyway."""
+        cell, _, _, near = self.encode(x)
+        score = np.where(ids == q_ids[:, None], -np.inf, (q / self.unit) @ (x / self.unit).T)
+        place = np.full((len(q), len(self.cells)), -1)
+        np.put_along_axis(place, self.order(q, known), np.arange(len(known))[None, :], axis=1)
+        best = np.argsort(-score, axis=1, kind="stable")[:, : min(self.p.top, max(1, len(x) - 1))]
+        needed = np.sort(np.where(near[best], np.take_along_axis(place, cell[best], axis=1), -1).ravel())
+        return int(needed[min(len(needed) - 1, int(np.ceil(self.p.wanted * len(needed))) - 1)]) + 1
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(queries, bytes, 256): what a byte of code adds to a query's score."""
-        half = np.einsum("qmd,mkd->qmk", self._pad(q).reshape(len(q), -1, 2), self.centres)
+        half = np.einsum("qmd,mkd->qmk", self._pad(q / self.unit).reshape(len(q), -1, 2), self.centres)
         low, high = half[:, 0::2], half[:, 1::2]
         return (high[:, :, :, None] + low[:, :, None, :]).reshape(len(q), self.pairs, 256).astype(np.float32)
 
 
-def _scan(q_ids, q, ids, x, packed, base, book: Codebook) -> pd.DataFrame:
-    """Best rows of one chunk for each query: tables first, then exact."""
+def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products row by row: equal rows have equal ones wherever they stand."""
+    return (x * q).sum(1)
+
+
+def _floor(q_ids: np.ndarray, q: np.ndarray, visited: np.ndarray, ids: np.ndarray, x: np.ndarray, part: np.ndarray, top: int) -> np.ndarray:
+    """What each query's last result has at least: the score of its ``top``-th row of the sample ``x`` in the cells it visits, a little less for rounding."""
+    if len(x) <= top:
+        return np.full(len(q), -np.inf)
+    met = np.zeros((len(q), max(part.max(), visited.max(initial=0)) + 2), bool)  # the last place stands for part -1
+    np.put_along_axis(met, visited, True, axis=1)
+    met[:, -1] = True
+    with np.errstate(all="ignore"):
+        score = np.where((ids == q_ids[:, None]) | ~met[:, part], -np.inf, q @ x.T)
+        low = np.partition(np.where(np.isnan(score), -np.inf, score), -top, axis=1)[:, -top]
+        return low - 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+
+
+def _scan(q_ids, q, floor, ids, x, cell, packed, error, book: Codebook) -> pd.DataFrame:
+    """Best rows of one chunk for each query: tables first, then exact, then exactly what the error of a code leaves open."""
     p, out = book.p, []
     order = np.argsort(ids, kind="stable")
-    ids, x, packed = ids[order], x[order], packed[order]
+    ids, x, cell, packed, error = ids[order], x[order], cell[order], packed[order], error[order]
     for at in range(0, len(q), 64):
-        tables = book.tables(q[at : at + 64])
-        score = np.repeat(base[at : at + 64, None], len(ids), axis=1).astype(np.float32)
-        for byte in range(book.pairs):
-            score += tables[:, byte][:, packed[:, byte]]
-        keep = np.argsort(-score, axis=1, kind="stable")[:, : p.rerank] if len(ids) > p.rerank else np.tile(np.arange(len(ids)), (len(score), 1))
-        for row, chosen in enumerate(keep):
-            own = q_ids[at + row]
-            exact = x[chosen] @ q[at + row]
-            mine = ids[chosen]
-            other = mine != own
-            exact, mine = exact[other], mine[other]
-            best = np.lexsort((mine, -exact))[: p.top]
-            out.append(pd.DataFrame({"query_id": own, "vec_id": mine[best], "score": exact[best]}))
+        asked = q[at : at + 64]
+        with np.errstate(all="ignore"):
+            tables, base = book.tables(asked), asked / book.unit @ book.cells.T
+            score = base[:, cell].astype(np.float32)
+            for byte in range(book.pairs):
+                score += tables[:, byte][:, packed[:, byte]]
+            slack = 1e-6 * (book.pairs + 2) * (np.abs(tables).max(2).sum(1) + np.abs(base).max(1))  # of single precision
+            most = score + np.linalg.norm(asked / book.unit, axis=1)[:, None] * error * (1 + 1e-9) + slack[:, None]
+            keep = np.argsort(-score, axis=1, kind="stable")[:, : p.rerank]
+            for row, chosen in enumerate(keep):
+                own, v = q_ids[at + row], asked[row]
+                exact = np.where(ids[chosen] == own, -np.inf, _exact(x[chosen], v))
+                if len(ids) > len(chosen):
+                    last = max(floor[at + row], np.sort(exact)[-p.top] if len(exact) >= p.top else -np.inf)
+                    open_ = ~(most[row] * book.unit**2 < last)  # rounding, infinities and what is no number stay open
+                    open_[chosen] = False
+                    more = np.flatnonzero(open_)
+                    if len(more) > p.rerank:  # one product finds out which of many may matter
+                        rough = x[more] @ v
+                        size = np.linalg.norm(v) * np.linalg.norm(x[more], axis=1)
+                        more = more[~(rough + 1e-12 * size < last)]
+                    chosen, exact = np.r_[chosen, more], np.r_[exact, _exact(x[more], v)]
+                other = (ids[chosen] != own) & ~(exact < floor[at + row])  # what is less is no result, wherever the query goes
+                exact, mine = exact[other], ids[chosen][other]
+                best = np.lexsort((mine, -exact))[: p.top]
+                out.append(pd.DataFrame({"query_id": own, "vec_id": mine[best], "score": exact[best]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
@@ -162,7 +225,8 @@ def search(vectors: DataFrame, is_query, p: Search = Search(), key: str = "vec_i
     if sample.empty:
         return spark.createDataFrame([], empty)
     dim = int(sample["v"].map(len).mode()[0])
-    x = np.stack([np.asarray(v, float) for v in sample["v"] if len(v) == dim])
+    sample = sample[sample["v"].map(len) == dim]
+    x = np.stack([np.asarray(v, float) for v in sample["v"]])
     rows = rows.where(F.size("v") == dim)
     cells = min(max(1, rows.count() // p.rows_per_cell), p.most_cells)
     book = Codebook(x, cells, p)
@@ -171,30 +235,41 @@ def search(vectors: DataFrame, is_query, p: Search = Search(), key: str = "vec_i
         for frame in frames:
             if len(frame):
                 full = np.stack(frame["v"].to_numpy()).astype(float)
-                cell, packed = book.encode(full)
-                yield frame.assign(cell=cell.astype("int32"), code=[r.tobytes() for r in packed])
+                cell, packed, error, near = book.encode(full)
+                yield frame.assign(cell=cell.astype("int32"), part=np.where(near, cell, -1).astype("int32"), code=[r.tobytes() for r in packed], error=error)
 
-    index = materialize(rows.mapInPandas(encoded, "vec_id long, v array<double>, cell int, code binary"), "ip-index")
-    sizes = {r["cell"]: r["count"] for r in index.groupBy("cell").count().collect()}  # one row a cell
+    held_index = "vec_id long, v array<double>, cell int, part int, code binary, error double"
+    index = materialize(rows.mapInPandas(encoded, held_index), "ip-index")
+    sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # one row a cell; -1 is what lies far from all
     chunks = {c: -(-n // p.chunk_rows) for c, n in sizes.items()}
-    probes = min(len(sizes), max(p.least_probes, int(np.ceil(p.probe_share * cells))))
-    known = np.array(sorted(sizes))
+    known = np.array(sorted(c for c in sizes if c >= 0), int)
+    tried = index.where(is_query("vec_id")).select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.trial).toPandas()
+    if tried.empty:
+        return spark.createDataFrame([], empty)
+    measured = book.probes(tried["vec_id"].to_numpy(), np.stack(tried["v"].to_numpy()).astype(float), sample["vec_id"].to_numpy(), x, known)
+    probes = min(len(known), max(p.least_probes, int(np.ceil(p.probe_share * cells)), measured))
+
+    own_ids, first = np.unique(sample["vec_id"].to_numpy(), return_index=True)  # an id counts once
+    nearest, _, _, close = book.encode(x[first])
+    held_sample = spark.sparkContext.broadcast((own_ids, x[first], np.where(close, nearest, -1)))
 
     def routed(frames):
         for frame in (whole.iloc[at : at + 256] for whole in frames for at in range(0, len(whole), 256)):
             q = np.stack(frame["v"].to_numpy()).astype(float)
-            near = known[np.argsort(-(q @ book.cells[known].T), axis=1, kind="stable")[:, :probes]]
-            at = [(i, c, k) for i, cs in enumerate(near) for c in cs for k in range(chunks[c])]
+            near = book.order(q, known)[:, :probes]
+            floor = _floor(frame["vec_id"].to_numpy(), q, near, *held_sample.value, p.top)
+            at = [(i, c, k) for i, cs in enumerate(near) for c in (*cs, -1) for k in range(chunks.get(c, 0))]
             i, c, k = map(np.array, zip(*at))
-            yield pd.DataFrame({"query_id": frame["vec_id"].to_numpy()[i], "q": frame["v"].to_numpy()[i], "cell": c.astype("int32"), "chunk": k.astype("int32")})
+            yield pd.DataFrame({"query_id": frame["vec_id"].to_numpy()[i], "q": frame["v"].to_numpy()[i], "floor": floor[i], "part": c.astype("int32"), "chunk": k.astype("int32")})
 
     asking = index.where(is_query("vec_id")).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asking = asking.mapInPandas(routed, "query_id long, q array<double>, cell int, chunk int")
-    count = F.element_at(F.create_map(*[F.lit(int(z)) for pair in chunks.items() for z in pair]), F.col("cell"))
+    asking = asking.mapInPandas(routed, "query_id long, q array<double>, floor double, part int, chunk int")
+    count = F.element_at(F.create_map(*[F.lit(int(z)) for pair in chunks.items() for z in pair]), F.col("part"))
     dealt = index.withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.col("v")), count).cast("int"))
-    dealt = dealt.select("cell", "chunk", F.lit(False).alias("asks"), F.col("vec_id").alias("id"), "v", "code")
-    queries = asking.select("cell", "chunk", F.lit(True).alias("asks"), F.col("query_id").alias("id"), F.col("q").alias("v"), F.lit(None).cast("binary").alias("code"))
-    by = ["cell", "chunk"]
+    dealt = dealt.select("part", "chunk", F.lit(False).alias("asks"), F.col("vec_id").alias("id"), "v", "cell", "code", "error", F.lit(None).cast("double").alias("floor"))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("cell", "int"), ("code", "binary"), ("error", "double"))]
+    queries = asking.select("part", "chunk", F.lit(True).alias("asks"), F.col("query_id").alias("id"), F.col("q").alias("v"), *nothing, "floor")
+    by = ["part", "chunk"]
     meeting = dealt.unionByName(queries).repartition(*by).sortWithinPartitions(*by, "asks")
 
     def scanned(frames):
@@ -212,9 +287,10 @@ def search(vectors: DataFrame, is_query, p: Search = Search(), key: str = "vec_i
                 if held is None:
                     whole = pd.concat(rows)
                     packed = np.frombuffer(b"".join(whole["code"]), np.uint8).reshape(len(whole), -1)
-                    held, rows = (whole["id"].to_numpy(), np.stack(whole["v"].to_numpy()).astype(float), packed), []
+                    vectors = np.stack(whole["v"].to_numpy()).astype(float)
+                    held, rows = (whole["id"].to_numpy(), vectors, whole["cell"].to_numpy().astype(int), packed, whole["error"].to_numpy(float)), []
                 q = np.stack(asked["v"].to_numpy()).astype(float)
-                yield _scan(asked["id"].to_numpy(), q, *held, q @ book.cells[key[0]], book)
+                yield _scan(asked["id"].to_numpy(), q, asked["floor"].to_numpy(float), *held, book)
 
     found = meeting.mapInPandas(scanned, "query_id long, vec_id long, score double")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -351,3 +351,22 @@ def test_pipeline_runs_over_odd_rows_and_nothing(spark, tmp_path):
     documents.limit(0).write.parquet(str(empty / "documents.parquet"))
     spark.read.parquet(str(tmp_path / "labels.parquet")).write.parquet(str(empty / "labels.parquet"))
     assert pipeline.run(spark, str(empty)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["alike", "far"])
+def test_search_finds_the_nearest_of_rows_that_share_codes_and_of_rare_long_ones(spark, kind):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((4000, 16))
+    if kind == "alike":  # hundreds of rows whose differences are smaller than those of codes
+        x = rng.standard_normal((8, 16))[rng.integers(0, 8, 4000)] + 0.003 * x
+    else:  # a few long rows are nearest to most queries, and the sample holds hardly any of them
+        x[rng.choice(4000, 25, replace=False)] *= 30
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    p = inner_product.Search(sample=1000, rows_per_cell=100, probe_share=0.05, least_probes=2)
+    found = inner_product.search(df, lambda c: F.col(c) % 20 == 0, p).toPandas().groupby("query_id")["vec_id"].apply(set)
+    hits = 0
+    for q in range(0, 4000, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20].tolist()) & found[q])
+    assert hits >= 0.95 * 20 * 200 and all(len(own) == 20 for own in found)
