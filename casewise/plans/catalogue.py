@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from ..functions import signal
 from ..ml import metrics, models
 from ..operators import analyses, cases, cohort, periods, report, trend
 from ..sources.order_tables import Reports, order_reports
+from ..sources.sinks import stored
 from . import oracle as O
 from .study import ORDER_TABLES as SPEC
 
@@ -19,26 +20,56 @@ QUARTER_KEYS = ("year", "quarter", "caseid")
 
 
 class Relations:
-    """The case-level relations of one folder, built lazily from its reports."""
+    """The case-level relations of one folder, built when asked for.
+
+    The retained reports and their drug and reaction rows are written once (``sinks.stored``): every child relation reads them,
+    and none joins or ranks the order tables again.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, keys: tuple[str, ...] = ("caseid",)):
+        self.spark, self.folder = spark, folder
         self.reports: Reports = order_reports(spark, folder)
         self.base = cohort.case_base(self.reports.demo, self.reports.deleted, SPEC, keys)
         if len(keys) > 1:  # quarterly relations: a report belongs to one period, so the period rides on the case id
             self.base = self.base.withColumn("caseid", F.concat_ws("@", "caseid", "year_quarter"))
-        self.drug_rows = cases.drug_rows(self.reports.drug, self.base)
-        self.drugs = cases.drug_cases(self.drug_rows, SPEC)
-        self.reactions = cases.reaction_cases(self.reports.reac, self.base, SPEC)
-        self.tokens = cases.outcome_tokens(self.reports.outc, self.base)
-        self.outcomes = cases.outcome_cases(self.tokens, SPEC)
+
+    @cached_property
+    def retained(self) -> DataFrame:
+        """``base``, for what reads it more than once."""
+        return stored(self.base, "case-base")
+
+    @cached_property
+    def children(self) -> Reports:
+        """The reports with drug and reaction rows of retained ones only."""
+        return order_reports(self.spark, self.folder, self.retained)
+
+    @cached_property
+    def drug_rows(self) -> DataFrame:
+        return cases.drug_rows(self.children.drug, self.retained)
+
+    @cached_property
+    def drugs(self) -> DataFrame:
+        return cases.drug_cases(self.drug_rows, SPEC)
+
+    @cached_property
+    def reactions(self) -> DataFrame:
+        return cases.reaction_cases(self.children.reac, self.retained, SPEC)
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return cases.outcome_tokens(self.reports.outc, self.retained)
+
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        return cases.outcome_cases(self.tokens, SPEC)
 
     @property
     def dataset(self) -> DataFrame:
-        return cases.case_dataset(self.base, self.drugs, self.reactions, self.outcomes)
+        return cases.case_dataset(self.retained, self.drugs, self.reactions, self.outcomes)
 
     @property
     def signals(self) -> DataFrame:
-        return cases.signal_dataset(self.base, self.drugs, self.reactions, self.outcomes)
+        return cases.signal_dataset(self.retained, self.drugs, self.reactions, self.outcomes)
 
 
 def _unkeyed(df: DataFrame) -> DataFrame:
@@ -48,13 +79,38 @@ def _unkeyed(df: DataFrame) -> DataFrame:
 
 
 class Periods:
-    """Quarterly relations and the full-period relations over them."""
+    """Quarterly relations and the full-period relations over them.
+
+    Signals and features are only built for the quarterly reports that the index has: a case's rows of other quarters would be
+    built to be left out by the join with the index.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
-        r = Relations(spark, folder, QUARTER_KEYS)
-        self.index = periods.global_index(_unkeyed(r.base), 1990, 2025)
-        self.signals = periods.signal_of_period(self.index, _unkeyed(r.signals).drop("year_quarter"))
-        self.features = periods.features_of_period(self.index, _unkeyed(cases.drug_feature(r.drugs)))
+        self.quarterly = Relations(spark, folder, QUARTER_KEYS)
+
+    @cached_property
+    def every(self) -> DataFrame:
+        """The retained report of each case and quarter."""
+        return stored(self.quarterly.base, "quarterly-base")
+
+    @cached_property
+    def index(self) -> DataFrame:
+        return stored(periods.global_index(_unkeyed(self.every), 1990, 2025), "index")
+
+    @cached_property
+    def _reports(self) -> Relations:
+        """The quarterly relations of the reports in the index."""
+        r = self.quarterly
+        r.base = self.every.join(self.index.select(F.concat_ws("@", "caseid", "year_quarter").alias("caseid")), "caseid", "left_semi")
+        return r
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        return periods.signal_of_period(self.index, _unkeyed(self._reports.signals).drop("year_quarter"))
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return periods.features_of_period(self.index, _unkeyed(cases.drug_feature(self._reports.drugs)))
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -150,7 +206,7 @@ CATALOGUE: dict[str, tuple[Callable, str | None]] = {
         O.CASES + " select caseid, is_fall_narrow, fall_narrow_pt_count, all_reac_n, is_fall_broad, fall_pt_list from reac_case",
     ),
     "pt_frequency_target": (
-        _on_cases(lambda r: cases.term_profile(r.reports.reac, r.base, r.drugs)),
+        _on_cases(lambda r: cases.term_profile(r.children.reac, r.retained, r.drugs)),
         O.CASES + ", t as (select d.caseid, pt from drug d join drug_cases c using (caseid) where is_zolpidem_suspect), p as (select pt, count(*) as n_rows, "
         "count(distinct caseid) as n_cases from t group by pt) select row_number() over (order by n_cases desc, n_rows desc, pt) as rank, pt, n_rows, n_cases, "
         "round(100.0 * n_rows / (select count(*) from t), 6) as row_percent, round(100.0 * n_cases / (select count(distinct caseid) from t), 6) as case_percent from p",

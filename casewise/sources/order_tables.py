@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sinks import stored
+
 
 @dataclass(frozen=True)
 class Reports:
@@ -19,7 +21,9 @@ class Reports:
     outc: DataFrame
 
 
-def order_reports(spark: SparkSession, folder: str) -> Reports:
+def order_reports(spark: SparkSession, folder: str, retained: DataFrame | None = None) -> Reports:
+    """With ``retained``, whose ``primaryid`` are reports, drug and reaction rows of those only: lines are parted from the rest before
+    they meet their parts, once, and what is left is written for both relations."""
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -39,7 +43,11 @@ def order_reports(spark: SparkSession, folder: str) -> Reports:
         F.concat(F.lit("Q"), F.quarter("o_orderdate").cast("string")).alias("quarter"),
     )
     deleted = customer.where("c_acctbal < 0").select(F.col("c_custkey").cast("string").alias("caseid"))
-    items = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    if retained is not None:
+        lines = lines.join(retained.select(F.col("primaryid").alias("l_orderkey")), "l_orderkey", "left_semi")
+    items = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_returnflag", "p_name", "p_brand", "p_type")
+    if retained is not None:
+        items = stored(items, "items")
     role = F.when(F.col("l_returnflag") == "R", "PS").when(F.col("l_returnflag") == "A", "SS").otherwise("C")
     drug = items.select(
         F.col("l_orderkey").alias("primaryid"), F.lit("").alias("caseid"), F.upper("p_name").alias("drugname"), F.upper("p_brand").alias("prod_ai"), role.alias("role_cod")

@@ -6,6 +6,7 @@ import contextlib
 import hashlib
 import json
 import tempfile
+import uuid
 from datetime import datetime
 from pathlib import Path
 
@@ -129,6 +130,13 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back, for what several plans or passes read; later reads cost no joins."""
+    path = f"{shared_folder(df.sparkSession)}/casewise/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run_folder(root: str | Path, name: str) -> Path:
     path = Path(root) / f"{name}_{datetime.now():%Y%m%d_%H%M%S}"
     path.mkdir(parents=True, exist_ok=True)
