@@ -424,23 +424,28 @@ def _frame(r: Relations) -> DataFrame:
     return models.modelling_frame(r.signals, cases.drug_feature(r.drugs))
 
 
+def _kept_frame(r: Relations) -> DataFrame:
+    """The modelling frame written once: a fit reads it many times."""
+    return stored(_frame(r), "frame")
+
+
 def _forecast(r: Relations) -> DataFrame:
     """Logistic model of the earlier years on the last year; rows-only, models have no SQL."""
-    frame = _frame(r)
+    frame = _kept_frame(r)
     train = models.balanced_weights(frame.where("year <= 1999"))
     return models.scores(models.fit(train, models.logistic(train, 100)), frame.where("year > 1999"))
 
 
 def _tree_forecast(estimator: Callable, r: Relations) -> DataFrame:
     """Trees of the earlier years on the last year; rows-only, tests compare with brute force."""
-    frame = _frame(r)
+    frame = _kept_frame(r)
     return models.scores(models.fit(frame.where("year <= 1999"), estimator()), frame.where("year > 1999"))
 
 
 CATALOGUE |= {
     "modelling_frame": (_on_cases(_frame), _FRAME + " select * from frame"),
     "temporal_split_summary": (
-        _on_cases(lambda r: models.split_summary(models.temporal_split(_frame(r), 1999, 2000, 2001))),
+        _on_cases(lambda r: models.split_summary(models.temporal_split(_kept_frame(r), 1999, 2000, 2001))),
         _FRAME + " select case when year <= 1999 then 'train' when year = 2000 then 'valid' else 'test' end as part, count(*) as n_rows, cast(sum(label) as bigint) as n_positive from frame group by 1",
     ),
     "confusion_metrics": (

@@ -43,10 +43,10 @@ def test_entry_module_lists_queries():
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 def test_relations_read_the_order_tables_once(spark):
-    from casewise.plans.catalogue import Periods, Relations
+    from casewise.plans.catalogue import Periods, Relations, _kept_frame
 
     r, p = Relations(spark, FOLDER), Periods(spark, FOLDER)
-    for df in (r.signals, r.dataset, p.signals, p.features):
+    for df in (r.signals, r.dataset, p.signals, p.features, _kept_frame(r)):
         assert not [f for f in df.inputFiles() if f.endswith("/lineitem.parquet") or f.endswith("/part.parquet")]
     # of a case's quarters, only the one in the index has children
     assert p.quarterly.drugs.count() <= p.index.count() == p.signals.count()
