@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import signal
+from ..functions.text import truth
 from ..ml import metrics, models
 from ..operators import analyses, cases, cohort, periods, report, trend
 from ..sources.order_tables import Reports, order_reports
@@ -347,7 +348,7 @@ CATALOGUE: dict[str, tuple[Callable, str | None]] = {
           round((select corr(rs, ry) from r), 6) as spearman_rho,
           round((select sum((s - q.ms) * (y - q.q)) from e, q) / sqrt((select q * (1 - q) from q) * (select sum((s - q.ms) ** 2) from e, q)), 6) as trend_z""",
     ),
-    "age_trend_logistic": (_on_cases(lambda r: trend.age_trend_logistic(r.dataset)), None),
+    "age_trend_logistic": (_on_cases(lambda r: trend.age_trend_logistic(stored(r.dataset.where(truth("is_zolpidem_suspect")), "exposed"))), None),
     # report
     "report_overview": (
         _on_cases(lambda r: report.overview(r.dataset)),
