@@ -476,7 +476,7 @@ CATALOGUE |= {
     ),
     "brier": (_on_cases(lambda r: metrics.brier(_scored(r))), _SCORED + " select round(avg((score - label) ** 2), 6) as brier from scored"),
     "calibration_bins": (
-        _on_cases(lambda r: metrics.calibration_bins(_scored(r))),
+        _on_cases(lambda r: metrics.calibration_bins(stored(_scored(r), "scored"))),
         _SCORED + ", e as (select distinct unnest(quantile_cont(score, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) as e from scored), "
         "b as (select row_number() over (order by e) - 1 as bin, lag(e) over (order by e) as lo, e as hi from e) "
         "select cast(bin as int) as bin, count(*) as n, round(avg(score), 6) as mean_score, round(avg(label), 6) as event_rate from scored join b "
