@@ -142,6 +142,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Let executors collect garbage and return heap that they do not need, so native memory (state stores, Python) has room."""
+    tasks = spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).selectExpr("reflect('java.lang.System', 'gc')").collect()
+
+
 def let(value: Column, body) -> Column:
     """``body(v)`` with ``value`` computed once per row, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

@@ -83,6 +83,23 @@ def test_heavy_clicks_are_summed_up_without_loss(spark):
     assert got == windows(rows, 4)
 
 
+def test_executors_give_heap_back_between_starts(spark, monkeypatch):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    collections = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName() and "Concurrent" not in b.getName())
+    calls, shrink = [], click_windows.shrink_heaps
+
+    def counted(session):
+        before = collections()
+        shrink(session)
+        calls.append(collections() - before)
+
+    monkeypatch.setattr(click_windows, "shrink_heaps", counted)
+    rows = click_rows(60, seed=9)
+    got = click_windows.deduplicate_clicks(spark.createDataFrame(rows, CLICKS), batches=5)
+    assert sorted(tuple(r) for r in got.collect()) == windows(rows, 5)
+    assert len(calls) == 2 and all(n > 0 for n in calls)
+
+
 def test_no_clicks_no_windows(spark):
     none = spark.createDataFrame([(None, None, None, 1, "k", 1.0, "", "h", 1)], CLICKS)
     assert click_windows.deduplicate_clicks(none).collect() == [] and click_windows.deduplicate_clicks(none.limit(0)).columns == [c.split()[0] for c in click_windows.RESULT.split(", ")]
