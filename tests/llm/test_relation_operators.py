@@ -192,6 +192,41 @@ def test_similarity_join_of_odd_rows(spark, odd, nothing):
     assert ngram_join.link_components(nothing).count() == 0
 
 
+@pytest.mark.parametrize("small, matrix, percent", [(3, 64, 75), (1, 64, 75), (3, 5, 40)])
+def test_blocks_looked_at_together_equal_each_block_alone(monkeypatch, small, matrix, percent):
+    monkeypatch.setattr(ngram_join, "SMALL_BLOCK", small)
+    monkeypatch.setattr(ngram_join, "MATRIX", matrix)
+    rng, blocks = random.Random(4), {}
+    for token in range(300):
+        for salt in rng.choice([[0], [1, 2]]):
+            members = rng.sample(range(900), rng.choice([1, 1, 2, 3, 4, 9, 70]))
+            blocks[salt << 40 | token] = sorted((row, rng.randint(5, 60), rng.randint(20, 64 * 100 // percent + 1)) for row in members)
+    rows = np.array([(b, row, n << ngram_join.MOST_BITS | most) for b in sorted(blocks) for row, n, most in blocks[b] for _ in range(rng.choice([1, 1, 2]))]).T
+    pairs, out = [], []
+    for block, members in blocks.items():
+        size = lambda x, y: percent * max(x[1], y[1]) <= 100 * min(x[1], y[1])
+        fits = [(x, y) for x in members for y in members if x < y and size(x, y) and y[1] <= x[2] * x[1] // 64 and x[1] <= y[2] * y[1] // 64]
+        salted = block >> 40 > 0
+        if len(members) <= small and not salted:
+            pairs += [(x[0], y[0]) for x, y in fits]
+            continue
+        pairs += [(members[0][0], y[0]) for y in members[1:] if size(members[0], y)]
+        used = {x for p in fits for x in p} if not salted and len(members) <= matrix and len(members) > 1 else members if salted or len(members) > 1 else []
+        out += [(1, block & (1 << 40) - 1, row, row, n) for row, n, _ in used]
+        out += [(2, block & (1 << 40) - 1, row, row, n) for row, n, _ in members[:1] if salted]
+    got_pairs, got = ngram_join._block_parts(rows, percent)
+    assert sorted(zip(*got_pairs.tolist())) == sorted(pairs) and sorted(zip(*got.tolist())) == sorted(out)
+
+
+def test_postings_are_three_numbers_and_marks_four_bits_a_member(spark):
+    rows = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(404))), (2, "a b c")], "doc_id long, text string")
+    sets = ngram_join.shingle_sets(rows, "doc_id", "text", 5).where("tokens is not null")
+    posted = ngram_join.postings(sets, np.zeros((2, 0), np.int64), 75, 0, 1)
+    assert [kind for _, kind in posted.dtypes] == ["bigint"] * 3 and posted.count() == 101 + 1
+    assert {r.size >> ngram_join.MOST_BITS for r in posted.collect()} == {400, 1}
+    assert all(n <= 128 or 2 * n <= ngram_join._own_width(n) <= 4 * n for n in range(1, 5000))
+
+
 def test_signature_tree_keeps_every_possible_pair():
     rng = np.random.default_rng(3)
     sets = [rng.choice(5000, size=rng.integers(20, 60), replace=False) for _ in range(120)]
