@@ -227,6 +227,36 @@ def test_postings_are_three_numbers_and_marks_four_bits_a_member(spark):
     assert all(n <= 128 or 2 * n <= ngram_join._own_width(n) <= 4 * n for n in range(1, 5000))
 
 
+@pytest.mark.parametrize("parts", [4, 96])
+def test_postings_move_packed_and_come_back_whole(spark, monkeypatch, parts):
+    monkeypatch.setattr(ngram_join, "SALT_ROWS", 100)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(4000)], k=rng.choice([0, 3, 30, 900])) + ["one end of all these texts"] * (i % 3)) for i in range(400)]
+    sets = ngram_join.shingle_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", 5).where("tokens is not null")
+    heavy = ngram_join.heavy_tokens(sets)
+    count, rank = dict(zip(*heavy.tolist())), {t: i + 1 for i, t in enumerate(heavy[0].tolist())}
+    want = Counter()
+    for r in sets.collect():
+        tokens = ngram_join._unpack(r.tokens).tolist()
+        assert tokens == sorted(tokens) and len(tokens) == r.n and (r.n < 200 or len(r.tokens) < 4.4 * r.n)
+        for place, token in enumerate(sorted(tokens, key=lambda t: rank.get(t, 0))[: r.n - -(-3 * r.n // 4) + 1]):  # noqa: E203
+            want[token, r.row, r.n, -(-64 * (175 * (r.n - place) // 75 - r.n) // r.n), count.get(token, 0) >= 100] += 1
+    assert any(salted for *_, salted in want)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got, at, room = Counter(), defaultdict(set), 0
+        for turn in range(3):
+            for r in ngram_join.postings(sets, heavy, 75, turn, 3).withColumn("part", F.spark_partition_id()).collect():
+                got[r.block & (1 << 40) - 1, r.row, r.size >> ngram_join.MOST_BITS, r.size & (1 << ngram_join.MOST_BITS) - 1, r.block >> 40 > 0] += 1
+                at[r.block].add((turn, r.part))
+            room += ngram_join.packed_postings(sets, heavy, 75, turn, 3, parts).agg(F.sum(F.length("data") + 20)).first()[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == want and all(len(p) == 1 for p in at.values()) and len({p for _, p in set().union(*at.values())}) == -(-parts // 3)
+    assert room < 12 * sum(got.values())
+
+
 def test_signature_tree_keeps_every_possible_pair():
     rng = np.random.default_rng(3)
     sets = [rng.choice(5000, size=rng.integers(20, 60), replace=False) for _ in range(120)]
