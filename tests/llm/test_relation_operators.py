@@ -250,7 +250,7 @@ def test_postings_move_packed_and_come_back_whole(spark, monkeypatch, parts):
             for r in ngram_join.postings(sets, heavy, 75, turn, 3).withColumn("part", F.spark_partition_id()).collect():
                 got[r.block & (1 << 40) - 1, r.row, r.size >> ngram_join.MOST_BITS, r.size & (1 << ngram_join.MOST_BITS) - 1, r.block >> 40 > 0] += 1
                 at[r.block].add((turn, r.part))
-            room += ngram_join.packed_postings(sets, heavy, 75, turn, 3, parts).agg(F.sum(F.length("data") + 20)).first()[0]
+            room += ngram_join.packed_postings(sets, heavy, 75, turn, 3, 2 * parts).agg(F.sum(F.length("data") + 20)).first()[0]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == want and all(len(p) == 1 for p in at.values()) and len({p for _, p in set().union(*at.values())}) == -(-parts // 3)
