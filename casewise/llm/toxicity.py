@@ -9,8 +9,9 @@ with weights that are not negative, fitted to labelled documents.
 
 Labels are of documents, so training first finds witness words: words of toxic documents that hold a
 letter run frequent there and absent from clean documents. Training reads a sample of labelled rows
-bounded by ``Training``, whose texts it reads whole, and leaves out keys labelled both ways; scoring
-reads every whole text. Kernel values are computed once per distinct word in a bounded memo.
+bounded by ``Training``, whose texts it reads whole, and leaves out keys labelled both ways; tasks cut
+these texts into words and the driver gets each one's distinct words, held once however many texts share
+them. Scoring reads every whole text. Kernel values are computed once per distinct word in a bounded memo.
 
 Defined results: null or empty texts score as having no word (near 0); without labels of both kinds
 every score is 0; repeated rows score alike; an empty table gives an empty result; other columns pass
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import chain, combinations
 
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import give_back, in_parts, table
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 _SPELLED = re.compile(r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D][\x20\x09-\x0D]){2,}[^\x20\x09-\x0D](?![^\x20\x09-\x0D])").findall
@@ -217,25 +219,29 @@ def _runs(span: str) -> set[str]:
     return {span[i : i + n] for n in (5, 6) for i in range(len(span) - n + 1)} or {span}
 
 
-def _witnesses(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
+Bag = tuple[str, ...]  # distinct words of a text
+
+
+def _witnesses(toxic: list[Bag], clean: list[Bag]) -> set[str]:
     """Spans in toxic documents around the letter run that tells most against clean documents."""
 
-    def counted(bags: list[set[str]]) -> Counter:
-        return Counter(chain.from_iterable({r for w in bag for span in spans_of(w) for r in _runs(span)} for bag in bags))
+    def runs_of(bag: Bag) -> set[str]:
+        return {r for w in bag for span in spans_of(w) for r in _runs(span)}
 
-    in_toxic, in_clean = counted(toxic), counted(clean)
+    in_toxic = {run: n for run, n in Counter(chain.from_iterable(map(runs_of, toxic))).items() if n >= 2}  # others tell nothing
+    in_clean = Counter(chain.from_iterable(in_toxic.keys() & runs_of(bag) for bag in clean))
 
     def gain(run: str) -> float:
         n = in_toxic[run]
         ratio = (n + 0.5) / (len(toxic) + 1) / ((in_clean[run] + 0.5) / (len(clean) + 1))
-        return n * float(np.log(ratio)) if n >= 2 and ratio > 3 else 0.0
+        return n * float(np.log(ratio)) if ratio > 3 else 0.0
 
     worth = {run: gain(run) for run in in_toxic}
-    typical = sorted((max((worth[r] for w in bag for span in spans_of(w) for r in _runs(span)), default=0.0) for bag in toxic), reverse=True)
+    typical = sorted((max((worth.get(r, 0.0) for r in runs_of(bag)), default=0.0) for bag in toxic), reverse=True)
     least = max(8.0, 0.04 * typical[len(typical) // 2])
     found: set[str] = set()
     for bag in toxic:
-        mine = {span: max(worth[r] for r in _runs(span)) for span in set(chain.from_iterable(map(spans_of, bag)))}
+        mine = {span: max(worth.get(r, 0.0) for r in _runs(span)) for span in set(chain.from_iterable(map(spans_of, bag)))}
         top = max(mine.values(), default=0.0)
         if top > 0 and top >= least:
             found |= {span for span, value in mine.items() if value >= 0.5 * top}
@@ -298,9 +304,19 @@ def _curve(counts: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(texts: list[str], toxic: list[int], p: Training = Training()) -> Model | None:
+def bags_of(words: Iterable[Iterable[str]]) -> list[Bag]:
+    """Bags that share the words they have in common."""
+    own: dict[str, str] = {}
+    return [tuple(own.setdefault(w, w) for w in some) for some in words]
+
+
+def fit(texts: Iterable[str], toxic: list[int], p: Training = Training()) -> Model | None:
     """Train on labelled texts; None if a kind is missing."""
-    bags = [words_of(t) for t in texts]
+    return fit_bags(bags_of(sorted(words_of(t)) for t in texts), toxic, p)
+
+
+def fit_bags(bags: list[Bag], toxic: list[int], p: Training = Training()) -> Model | None:
+    """``fit`` on the distinct words of each text."""
     bad = [b for b, y in zip(bags, toxic) if y == 1]
     good = [b for b, y in zip(bags, toxic) if y == 0]
     if not bad or not good:
@@ -333,12 +349,21 @@ def fit(texts: list[str], toxic: list[int], p: Training = Training()) -> Model |
                 break
             chosen.update(dict.fromkeys(hard))
             x_neg = np.vstack([x_neg, normalised(hard, marks, p.decay, p.landmark_letters) @ whiten])
-    every = list(set(chain.from_iterable(bags)))
-    margin = dict(zip(every, model.margins(every).tolist()))
-    model.curve = _curve(np.array([_counts(map(margin.__getitem__, b)) for b in bags]), np.array(toxic, dtype=float))
+    every, near = sorted(set(chain.from_iterable(bags))), {}
+    for at in range(0, len(every), 20_000):  # only margins that count are kept
+        part = every[at : at + 20_000]
+        near.update((w, m) for w, m in zip(part, model.margins(part).tolist()) if m >= EDGES[0])
+    model.curve = _curve(np.array([_counts([near[w] for w in b if w in near]) for b in bags]), np.array(toxic, dtype=float))
     return model
 
 
+def _cut(batches):
+    """Distinct words of each text ``t``, with spaces between."""
+    for batch in batches:
+        words = pa.array([" ".join(sorted(words_of(t or ""))) for t in batch.column(0).to_pylist()], pa.string())
+        yield from in_parts(pa.RecordBatch.from_arrays([words, batch.column(1)], names=["words", "toxic"]))
+
+
 def train(docs: DataFrame, labels: DataFrame, p: Training = Training(), key: str = "doc_id", text: str = "text") -> Model | None:
     """Fit on a bounded sample of labelled rows, chosen by a hash of the key; never on held-out rows."""
     labelled = labels.where(F.col("toxic").isin(0, 1) & F.col(key).isNotNull()).where(~held_out(F.col(key)))
@@ -348,9 +373,16 @@ def train(docs: DataFrame, labels: DataFrame, p: Training = Training(), key: str
         for kind, most in ((1, p.toxic_documents), (0, p.clean_documents))
     ]
     sample = picked[0].union(picked[1])
-    rows = docs.select(key, F.col(text).cast("string").alias("t")).join(F.broadcast(sample), key).select("t", "toxic").toPandas()
-    rows = rows.sort_values(["toxic", "t"], kind="stable")
-    return fit([t or "" for t in rows["t"]], [int(y) for y in rows["toxic"]], p)
+    rows = docs.select(key, F.col(text).cast("string").alias("t")).join(F.broadcast(sample), key)
+    rows = rows.selectExpr("t", "cast(toxic as int) toxic").mapInArrow(_cut, "words string, toxic int").toArrow()
+    bags = bags_of(filter(None, words.as_py().split(" ")) for words in rows.column("words"))
+    order = sorted(range(len(bags)), key=lambda i: (rows.column("toxic")[i].as_py(), bags[i]))
+    bags, toxic = [bags[i] for i in order], [rows.column("toxic")[i].as_py() for i in order]
+    del rows
+    model = fit_bags(bags, toxic, p)
+    del bags
+    give_back()  # a driver lives on after this stage
+    return model
 
 
 def held_out(key: Column) -> Column:

@@ -6,6 +6,7 @@ import json
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -119,6 +120,27 @@ def test_training_reads_whole_words_and_no_contradictions(spark):
     assert toxicity.train(docs, agreed.union(agreed)) is not None
 
 
+def test_training_holds_a_word_once_however_many_texts_share_it(labelled):
+    rng = random.Random(2)
+    pool = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(2_000)]
+    texts = [" ".join([t, *rng.sample(pool, 300)]) for t, _ in labelled] * 3
+    tracemalloc.start()
+    try:
+        assert toxicity.fit(texts, [y for _, y in labelled] * 3) is not None
+        assert tracemalloc.get_traced_memory()[1] < 25e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_training_on_rows_is_training_on_their_texts(spark, labelled):
+    ids = [i for i in range(1_000) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"{t} a\x1cb\u00a0c", y) for i, (t, y) in zip(ids, labelled)] + [(ids[len(labelled)], None, 0), (ids[len(labelled) + 1], "", 0)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    got = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic long"))
+    want = toxicity.fit([t or "" for _, t, _ in rows], [y for *_, y in rows])
+    assert got.marks == want.marks and np.allclose(got.weights, want.weights) and np.allclose(got.curve, want.curve)
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
