@@ -186,6 +186,47 @@ def test_similarity_components_equal_brute_force(spark, monkeypatch, small, chun
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("ids, rows", [(500_000, 0), (0, 0)])
+def test_similarity_components_without_broadcast_rows(spark, monkeypatch, ids, rows):
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", ids)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", rows)
+    rng = random.Random(9)
+    seeds = [[f"g{group}w{i}" for i in range(rng.randint(6, 60))] for group in range(8)]
+    texts = [[w if rng.random() < 0.98 else f"n{rng.randint(0, 10**6)}" for w in seeds[i % 8]] for i in range(60)]
+    docs = list(enumerate(map(" ".join, texts)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_components(docs)
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_rows_of_listed_ids_equal_plain_joins(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", most)
+    rng = random.Random(5)
+    keys = [None, 0, -1, 1 << 62, -(1 << 63), *(rng.randint(-(1 << 63), (1 << 63) - 1) for _ in range(900)), *(3 << 40 | i for i in range(900))]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys * 2)], "row long, place long")
+    ids = spark.createDataFrame([(k,) for k in keys[::3] if k is not None] + [(7,), (-1,)], "row long")
+    for some in (ids, ids.where("row = 7"), ids.where("row is null")):
+        for among, how in ((True, "left_semi"), (False, "left_anti")):
+            got = ngram_join.having_ids(rows, "row", some, among)
+            assert got.columns == rows.columns and Counter(map(tuple, got.collect())) == Counter(map(tuple, rows.join(some, "row", how).collect()))
+
+
+def test_frequent_ngrams_are_chosen_by_tasks(spark, monkeypatch):
+    texts = [f"own{i} " + " ".join(f"p{k}a p{k}b p{k}c p{k}d p{k}e p{k}f x{i}k{k}" for k in range(150) if i % (k + 1) == 0) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = ngram_join.shingle_sets(docs, "doc_id", "text", 5).where("tokens is not null").cache()
+    every = dict(zip(*ngram_join.heavy_tokens(sets).tolist()))
+    monkeypatch.setattr(ngram_join, "HEAVY_TOKENS", 40)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    some = ngram_join.heavy_tokens(sets)
+    plans = [store.executionsList().apply(i).physicalPlanDescription() for i in range(before, store.executionsCount())]
+    assert plans and not any("TakeOrdered" in p for p in plans)  # which sends that many rows from each task
+    assert 20 < some.shape[1] <= 40 < len(every) and all(every[t] == c for t, c in zip(*some.tolist())) and list(some[1]) == sorted(some[1])
+    left = max(c for t, c in every.items() if t not in set(some[0].tolist()))
+    assert left <= 1.1 * some[1].min()  # equal but for a level
+
+
 def test_similarity_join_of_odd_rows(spark, odd, nothing):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_components(odd).collect()]
     assert len(got) == odd.count() and Counter(g for g in got if g[0] in (4, 5, 7)) == {(4, 977, 4): 1, (5, 977, 4): 2, (7, 1, 6): 1}
